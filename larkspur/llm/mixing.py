@@ -16,16 +16,16 @@ def tempered_rates(docs: DataFrame, temper: float = TEMPER, scale: float = 1.0)
     """source, rate: mean repetitions that bring the sources to tempered weights, ``scale`` x the input's rows in all."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
     n = materialize(n)
-    total = n.agg(F.sum("n").alias("rows"), F.sum(F.pow("n", F.lit(temper))).alias("mass"))
-    return n.crossJoin(F.broadcast(total)).select("source", (F.pow("n", F.lit(temper)) / F.col("mass") * F.col("rows") * scale / F.col("n")).alias("rate"))  # total: one row
+    rows, mass = n.agg(F.sum("n"), F.sum(F.pow("n", F.lit(temper)))).first()
+    return n.select("source", (F.pow("n", F.lit(temper)) / (mass or 1.0) * (rows or 0.0) * scale / F.col("n")).alias("rate"))
 
 
 def weighted_rates(docs: DataFrame, weights: DataFrame, scale: float = 1.0) -> DataFrame:
     """source, rate for target ``weights`` (source, weight >= 0; not named: 0), ``scale`` x the input's rows in all."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
     n = materialize(n.join(weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("weight")), F.col("source").eqNullSafe(F.col("named")), "left").fillna(0.0, ["weight"]))
-    total = n.agg(F.sum("n").alias("rows"), F.sum("weight").alias("mass"))
-    return n.crossJoin(F.broadcast(total)).select("source", F.when(F.col("mass") > 0, F.col("weight") / F.col("mass") * F.col("rows") * scale / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))  # total: one row
+    rows, mass = n.agg(F.sum("n"), F.sum("weight")).first()
+    return n.select("source", (F.col("weight") / (mass or 1.0) * (rows or 0.0) * scale / F.col("n")).alias("rate"))
 
 
 def poisson_cdf(rate: Column) -> Column:

@@ -99,16 +99,16 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(with_metrics(measured(docs)))
     fine = materialize(sketch(rows.where(~F.col("base_failed"))))
-    levels = [["lang", "source"], ["lang"], []]
-    for k, by in enumerate(levels):
+    for k, by in enumerate((["lang", "source"], ["lang"])):
         q = quartiles(fine, by)
         q = materialize(q.select(*[F.col(c).alias(f"__{k}_{c}") for c in q.columns]))
         on = [F.col(c).eqNullSafe(F.col(f"__{k}_{c}")) for c in by]
-        rows = rows.join(small_side(q, 50_000), on or F.lit(True), "left")
+        rows = rows.join(small_side(q, 50_000), on[0] if len(on) == 1 else on[0] & on[1], "left")
+    corpus = quartiles(fine, []).first()
     held = F.lit(True)
     for m in METRICS:
         for side in ("lo", "hi"):
-            bound = F.coalesce(*[F.when(F.col(f"__{k}_docs") >= LEAST_DOCS, F.col(f"__{k}_{side}_{m}")) for k in (0, 1)], F.col(f"__2_{side}_{m}"))
+            bound = F.coalesce(*[F.when(F.col(f"__{k}_docs") >= LEAST_DOCS, F.col(f"__{k}_{side}_{m}")) for k in (0, 1)], F.lit(corpus[f"{side}_{m}"] if corpus else None))
             held &= F.col(m) >= bound if side == "lo" else F.col(m) <= bound
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(held, F.lit(True))).select("doc_id", "lang", "source", *COUNTS, *METRICS, "base_failed", "kept")
 
