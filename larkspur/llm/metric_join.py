@@ -19,8 +19,8 @@ ship(__name__)
 COSINE = 0.9
 #: Vectors of a cell, on average, and pivots at most: the pivots are what the driver sees and every task gets.
 CELL, MOST_PIVOTS = 2048, 512
-#: Vectors in one unit of work from either side; larger cells are dealt over several units.
-BLOCK = 2048
+#: Numbers that the home vectors of one unit of work hold, and its visitors twice that; larger cells are dealt over several units.
+BLOCK = 1 << 20
 #: Added to the radius, far above the rounding errors of distances between unit vectors in double precision.
 SLACK = 1e-6
 
@@ -123,7 +123,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     cells = dealt(reps.where(F.size("v") == width), at, radius)
     sizes = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("all")).collect()
     # At most as many numbers as pivots: how many blocks each cell's home rows and its visitors are dealt into.
-    blocks = {r["cell"]: (max(1, -(-r["homes"] // BLOCK)), max(1, -(-r["all"] // (4 * BLOCK)))) for r in sizes}
+    blocks = {r["cell"]: (max(1, -(-r["homes"] * width // BLOCK)), max(1, -(-r["all"] * width // (2 * BLOCK)))) for r in sizes}
     lookup = F.create_map(*[x for c, (h, w) in blocks.items() for x in (F.lit(c), F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")))])
     rows = cells.withColumn("of", F.element_at(lookup, F.col("cell"))).withColumn("own", F.xxhash64("rep"))
     as_home = rows.where("home").select("cell", F.pmod("own", F.col("of.h")).alias("h"), F.explode(F.sequence(F.lit(0), F.col("of.w") - 1)).alias("w"), F.lit(0).alias("role"), "rep", "n", "v")
