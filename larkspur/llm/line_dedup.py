@@ -36,10 +36,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, docs, first (doc_id, doc_hash, pos): keys found in ``min_docs`` documents or more, with their first occurrence."""
+def common_lines(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """h1, h2, docs, first (doc_id, doc_hash, pos) of the ``found`` occurrences: keys in ``min_docs`` documents or more, with their first occurrence."""
     keys = ["h1", "h2", "salt"]
-    rows = occurrences(docs).drop("n_lines").repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "doc_hash", "pos")
+    rows = found.drop("n_lines").repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "doc_hash", "pos")
     stream = Window.partitionBy(*keys).orderBy("doc_id", "doc_hash", "pos")
     doc = F.struct("doc_id", "doc_hash")
     rows = rows.withColumn("new", F.when(doc.eqNullSafe(F.lag(doc).over(stream)), 0).otherwise(1)).withColumn("at", F.row_number().over(stream))
@@ -62,9 +62,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     position (``keep_first``). A document is a doc_id with its text: equal rows count once and get one bitmap; null ids
     are told apart by text.
     """
-    common = materialize(common_lines(docs, min_docs))
+    found = materialize(occurrences(docs))  # hashes and places only; texts are split once
+    common = materialize(common_lines(found, min_docs))
     side = small_side(common.select("h1", "h2", *(["first"] if keep_first else [])))
-    hits = occurrences(docs).drop("salt").join(side, ["h1", "h2"], "inner" if keep_first else "left_semi")
+    hits = found.drop("salt").join(side, ["h1", "h2"], "inner" if keep_first else "left_semi")
     if keep_first:
         hits = hits.where(~F.struct("doc_id", "doc_hash", "pos").eqNullSafe(F.col("first"))).drop("first")
     dropped = hits.groupBy("doc_id", "doc_hash").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("dropped"))
