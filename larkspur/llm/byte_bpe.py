@@ -94,22 +94,30 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Folded(dict):
+    """Ids of the distinct words met so far, each folded once, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids = b"".join(i.to_bytes(4, "little") for i in fold_word(word.encode(), self.ranks))
+        return ids
+
+
 class Encoder:
-    """Encodes texts with a memory of distinct words; ids are kept as little-endian unsigned 32-bit integers."""
+    """Encodes texts with a memory of distinct words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.ranks, self.split, self.known = ranks, regex.compile(pattern).findall, {}
+        self.split, self.known = regex.compile(pattern).findall, Folded(ranks)
         self.pieces = {r: p for p, r in ranks.items()}
 
     def encode(self, text: str) -> bytes:
-        words, known = self.split(text), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = b"".join(i.to_bytes(4, "little") for i in fold_word(w.encode(), self.ranks))
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
