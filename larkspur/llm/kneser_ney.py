@@ -113,16 +113,18 @@ def probabilities(all_grams: DataFrame) -> DataFrame:
     p = None
     for k in range(1, ORDER + 1):
         take, mass = discounted(counts[k])
-        context = lambda c: F.shiftrightunsigned(c, 16) if k > 1 else F.lit(0)  # noqa: B023, E731
         seen = counts[k].select(F.col("g").alias("k"), "c")
-        of = seen.groupBy(context("k").alias("h")).agg(F.sum("c").alias("total"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2"), F.count(F.when(F.col("c") > 2, 1)).alias("n3"))
-        rows = wanted[k].withColumn("h", context("k")).join(seen, "k", "left").join(of.select("h", "total", mass.alias("mass")), "h", "left")
-        own = F.coalesce((F.col("c") - take) / F.col("total"), F.lit(0.0))
-        if p is None:
+        sums = [F.sum("c").alias("total"), *[F.count(F.when(x, 1)).alias(f"n{i}") for i, x in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2))]]
+        if k == 1:  # one context, the empty one: its row comes to the driver
+            of = seen.agg(*sums).select("total", mass.alias("mass")).first()
+            rows = wanted[k].join(seen, "k", "left").select("*", F.lit(of["total"]).alias("total"), F.lit(of["mass"]).alias("mass"))
             below = F.lit(1.0 / types)
         else:
+            of = seen.groupBy(F.shiftrightunsigned("k", 16).alias("h")).agg(*sums).select("h", "total", mass.alias("mass"))
+            rows = wanted[k].withColumn("h", F.shiftrightunsigned("k", 16)).join(seen, "k", "left").join(of, "h", "left")
             rows = rows.withColumn("s", low("k", k - 1)).join(p.select(F.col("k").alias("s"), F.col("p").alias("below")), "s")
             below = F.col("below")
+        own = F.coalesce((F.col("c") - take) / F.col("total"), F.lit(0.0))
         p = materialize(rows.select("k", (own + F.coalesce("mass", F.lit(1.0)) * below).alias("p")))
     return p.select(F.col("k").alias("g"), F.log("p").cast("float").alias("logp"))
 
