@@ -25,7 +25,7 @@ SKETCHES, SAMPLED = 24, 4
 #: Buckets of more documents are compared in blocks; up to it as single pairs.
 BUCKET = 32
 #: Documents compared with one leader in one task at most, and documents of a block.
-MEMBERS, BLOCK = 256, 128
+MEMBERS, BLOCK = 64, 512
 
 _ODD = np.random.default_rng(41).integers(1, 2**63, (2, SKETCHES), np.uint64) | np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
