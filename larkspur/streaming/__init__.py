@@ -1,0 +1 @@
+"""Nothing here yet: the engine has no streaming constructs."""
