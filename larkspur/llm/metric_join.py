@@ -25,7 +25,13 @@ BLOCK = 1 << 20
 SLACK = 1e-6
 
 
+def scaled(values: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that squares neither overflow nor vanish."""
+    return np.ldexp(values, -np.frexp(np.abs(values).max(1, keepdims=True))[1])
+
+
 def unit_rows(values: np.ndarray) -> np.ndarray:
+    values = scaled(values)
     return values / np.sqrt((values * values).sum(1, keepdims=True))
 
 
@@ -37,7 +43,8 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = rows.where(F.col("v").isNotNull())
     key = [F.xxhash64("v"), F.xxhash64(F.lit(5), "v")]
     reps = some.select(*[k.alias(f"k{i}") for i, k in enumerate(key)], "vec_id", "v").groupBy("k0", "k1").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    reps = materialize(reps)
+    nameless = F.shiftrightunsigned("k0", 2).bitwiseOR(F.lit(1 << 62))  # larger than ids in use
+    reps = materialize(reps.withColumn("rep", F.coalesce("rep", nameless)))
     members = rows.select("vec_id", F.when(F.col("v").isNotNull(), key[0]).alias("k0"), F.when(F.col("v").isNotNull(), key[1]).alias("k1"))
     return reps, members
 
@@ -76,7 +83,7 @@ def join_unit(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Of one unit: for each home vector the number of rows within reach here, and links that join what is connected here."""
     home = part["role"].to_numpy() == 0
     ids, n = part["rep"].to_numpy(), part["n"].to_numpy()
-    raw = np.stack(part["v"].to_numpy()).astype(np.float64)
+    raw = scaled(np.stack(part["v"].to_numpy()).astype(np.float64))
     x = unit_rows(raw)
     a, b = np.flatnonzero(home), np.flatnonzero(~home)
     links, other, parent = np.zeros(len(a), np.int64), [], {}
@@ -104,39 +111,44 @@ def join_unit(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.concat([rows, pd.DataFrame({"rep": [s for s, _ in other], "links": 0, "to": [t for _, t in other]})]).astype({"rep": "int64", "links": "int64", "to": "int64"})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding; other columns are not read).
-
-    Vectors link if their cosine, in double precision, is ``cosine`` or more. Vectors that are null, empty, zero or hold a
-    null or non-finite component, or differ in length from the first pivot, link with nothing. Equal vectors are one class that is joined once; repeated
-    ids count as rows. A null vec_id keeps a null component. An empty table gives no rows.
-    """
-    reps, members = classes(vectors)
-    total = reps.count()
+def joined(reps: DataFrame, width: int, total: int, cosine: float) -> DataFrame:
+    """rep, links, to: what the units find among the ``total`` class representatives of one ``width``."""
     radius = float(np.sqrt(2 - 2 * cosine))
     pivots = max(1, min(MOST_PIVOTS, total // CELL))
     top = reps.select("v").orderBy(F.xxhash64(F.lit(17), "v"), "rep").limit(pivots).collect()
-    if not top:
-        return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = len(top[0]["v"])
-    at = unit_rows(np.array([r["v"] for r in top if len(r["v"]) == width], np.float64))
-    cells = dealt(reps.where(F.size("v") == width), at, radius)
+    cells = dealt(reps, unit_rows(np.array([r["v"] for r in top], np.float64)), radius)
     sizes = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("all")).collect()
     # At most as many numbers as pivots: how many blocks each cell's home rows and its visitors are dealt into.
     blocks = {r["cell"]: (max(1, -(-r["homes"] * width // BLOCK)), max(1, -(-r["all"] * width // (2 * BLOCK)))) for r in sizes}
     lookup = F.create_map(*[x for c, (h, w) in blocks.items() for x in (F.lit(c), F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")))])
     rows = cells.withColumn("of", F.element_at(lookup, F.col("cell"))).withColumn("own", F.xxhash64("rep"))
-    as_home = rows.where("home").select("cell", F.pmod("own", F.col("of.h")).alias("h"), F.explode(F.sequence(F.lit(0), F.col("of.w") - 1)).alias("w"), F.lit(0).alias("role"), "rep", "n", "v")
-    as_seen = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("of.h") - 1)).alias("h"), F.pmod("own", F.col("of.w")).alias("w"), F.lit(1).alias("role"), "rep", "n", "v")
-    units = as_home.withColumn("h", F.col("h").cast("int")).unionByName(as_seen.withColumn("w", F.col("w").cast("int")))
-    found = materialize(units.groupBy("cell", "h", "w").applyInPandas(lambda part: join_unit(part, cosine), "rep long, links long, to long"))
+    as_home = rows.where("home").select("cell", F.pmod("own", F.col("of.h")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("of.w") - 1)).alias("w"), F.lit(0).alias("role"), "rep", "n", "v")
+    as_seen = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("of.h") - 1)).alias("h"), F.pmod("own", F.col("of.w")).cast("int").alias("w"), F.lit(1).alias("role"), "rep", "n", "v")
+    return materialize(as_home.unionByName(as_seen).groupBy("cell", "h", "w").applyInPandas(lambda part: join_unit(part, cosine), "rep long, links long, to long"))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding; other columns are not read).
+
+    Vectors link if their cosine, in double precision, is ``cosine`` or more. Vectors that are null, empty, zero or hold a
+    null or non-finite component link with nothing, nor do vectors of different lengths with each other; each length is
+    joined by itself. Equal vectors are one class that is joined once; repeated ids count as rows. Rows without vec_id are
+    compared too, have a component only through others, and are kept if they have none. An empty table gives no rows.
+    """
+    reps, members = classes(vectors)
+    found = None
+    for r in reps.groupBy(F.size("v").alias("width")).count().collect():
+        one = joined(reps.where(F.size("v") == r["width"]), r["width"], r["count"], cosine)
+        found = one if found is None else found.union(one)
+    if found is None:
+        return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.where("to < 0 and links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected(found.where("links = 0").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     of = reps.select("k0", "k1", "rep", "n").join(counts, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of = materialize(of.select("k0", "k1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     out = members.join(small_side(of), ["k0", "k1"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce(F.when(F.col("component_id") < (1 << 62), F.col("component_id")), F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def op4_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
