@@ -19,7 +19,7 @@ LEAST_DOCS = 50
 #: Interquartile ranges that a value may lie outside the quartiles.
 FENCE = 3
 #: Metrics in thousandths, and the least width an interquartile range counts as.
-METRICS = {"mean_word": 1000, "symbol_rate": 100, "dup_line_rate": 100, "repeat_rate": 100}
+METRICS = {"mean_word": 1000, "symbol_rate": 100, "dup_line_rate": 200, "repeat_rate": 100}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
