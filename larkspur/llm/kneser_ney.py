@@ -28,7 +28,7 @@ BLOCK_BYTES = 8_000_000
 CHUNK = 1_000_000
 #: A text is rejected if its nats per character lie further above its language's median than so many interquartile ranges
 #: (of LEAST_IQR at least), the excess being shrunk by n / (n + SHRINK) for a text of n characters.
-FENCE, LEAST_IQR, SHRINK = 4.0, 0.06, 120.0
+FENCE, LEAST_IQR, SHRINK = 4.0, 0.1, 120.0
 #: Languages with fewer documents are held against the quantiles of all.
 LEAST_DOCS = 50
 
