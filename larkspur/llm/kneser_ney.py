@@ -24,7 +24,7 @@ ship(__name__)
 ORDER = 4
 #: Bytes of text in a block, at least one document whatever its length.
 BLOCK_BYTES = 8_000_000
-#: Code points worked on at a time.
+#: Code points worked on at a time, three at least.
 CHUNK = 1_000_000
 #: A text is rejected if its nats per character lie further above its language's median than so many interquartile ranges
 #: (of LEAST_IQR at least), the excess being shrunk by n / (n + SHRINK) for a text of n characters.
@@ -33,33 +33,38 @@ FENCE, LEAST_IQR, SHRINK = 4.0, 0.1, 120.0
 LEAST_DOCS = 50
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram keys of all characters of the texts, three start symbols before each text; where each text's keys begin.
+def symbols(pieces: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """4-gram keys of the characters of pieces of text, and where each piece's keys begin.
 
-    Symbols are code points; those past 16 bits are folded into the upper half, and NUL is told from the start by none.
+    A piece is (text, first): first ones follow three start symbols, others begin with the three characters before them.
+    Symbols are code points; those past 16 bits are folded into the upper half.
     """
     parts, starts, n = [], [0], 0
-    for t in texts:
-        raw = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.zeros(len(raw) + ORDER - 1, np.int64)
-        s[ORDER - 1 :] = np.where(raw > 0xFFFF, 0x8000 | (raw & 0x7FFF), raw)
+    for t, first in pieces:
+        raw = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lead = (ORDER - 1) * first
+        s = np.zeros(len(raw) + lead, np.int64)
+        s[lead:] = np.where(raw > 0xFFFF, 0x8000 | (raw & 0x7FFF), raw)
         parts.append(s[:-3] << 48 | s[1:-2] << 32 | s[2:-1] << 16 | s[3:])
-        n += len(raw)
+        n += len(parts[-1])
         starts.append(n)
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(starts)
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """(index of the first, texts) of about CHUNK bytes each."""
-    some, size, first = [], 0, 0
+def chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[tuple[str, bool]]]]:
+    """(indices, pieces) of about CHUNK characters in all; longer texts come in several pieces."""
+    at, some, size = [], [], 0
     for i, t in enumerate(texts):
-        some.append(t.as_py())
-        size += len(some[-1] or "")
-        if size >= CHUNK:
-            yield first, some
-            some, size, first = [], 0, i + 1
+        text = t.as_py() or ""
+        for begin in range(0, max(1, len(text)), CHUNK):
+            at.append(i)
+            some.append((text[max(0, begin - ORDER + 1) : begin + CHUNK], begin == 0))
+            size += len(some[-1][0])
+            if size >= CHUNK:
+                yield at, some
+                at, some, size = [], [], 0
     if some:
-        yield first, some
+        yield at, some
 
 
 def grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -215,13 +220,14 @@ def scored(docs: DataFrame, logp: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 known = Lookup(batch.column("g")[i].values.to_numpy(), batch.column("logp")[i].values.to_numpy()) if batch.column("g")[i].is_valid else None
                 for rows in opened(batch.column("blob")[i]):
-                    for first, some in chunks(rows.column("text")):
+                    n, nats = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows)
+                    for at, some in chunks(rows.column("text")):
                         keys, starts = symbols(some)
                         upto = np.concatenate([[0.0], np.cumsum(known(keys), dtype=np.float64)]) if len(keys) else np.zeros(1)
-                        n = np.diff(starts)
-                        nats = -(upto[starts[1:]] - upto[starts[:-1]]) / np.maximum(n, 1)
-                        b = rows.slice(first, len(some))
-                        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(np.round(nats, 6), mask=n == 0)], [*b.schema.names, "__n", "__nats"])
+                        np.add.at(n, at, np.diff(starts))
+                        np.add.at(nats, at, upto[starts[:-1]] - upto[starts[1:]])
+                    nats = np.round(nats / np.maximum(n, 1), 6)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n), pa.array(nats, mask=n == 0)], [*rows.schema.names, "__n", "__nats"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return blocks.join(answers, "block", "left").select("blob", "g", "logp").mapInArrow(run, f"{names}, __n long, __nats double")

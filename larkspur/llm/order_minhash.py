@@ -75,10 +75,15 @@ def sketch(s: np.ndarray) -> np.ndarray:
     nth = np.empty(n, np.uint64)
     nth[order] = (np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))).astype(np.uint64)
     labelled = mixed(s + nth * _C1)
-    v = labelled[None] * _ODD[0][:, None] + _ODD[1][:, None]
-    v ^= v >> np.uint64(32)
-    v *= _C2
-    at = np.sort(np.argpartition(v, SAMPLED - 1, 1)[:, :SAMPLED], 1) if n > SAMPLED else np.broadcast_to(np.arange(n), (SKETCHES, n))
+    if n > SAMPLED:
+        at, some = np.empty((SKETCHES, SAMPLED), np.int64), SKETCHES if n < 50_000 else 1  # one after the other for long texts
+        for i in range(0, SKETCHES, some):
+            v = labelled[None] * _ODD[0][i : i + some, None] + _ODD[1][i : i + some, None]
+            v ^= v >> np.uint64(32)
+            v *= _C2
+            at[i : i + some] = np.sort(np.argpartition(v, SAMPLED - 1, 1)[:, :SAMPLED], 1)
+    else:
+        at = np.broadcast_to(np.arange(n), (SKETCHES, n))
     key = np.arange(1, SKETCHES + 1, dtype=np.uint64) * _C3
     for j in range(at.shape[1]):
         key = mixed(key * _C1 + s[at[:, j]])

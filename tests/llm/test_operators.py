@@ -74,7 +74,7 @@ def test_model_is_a_distribution(spark):
     docs = spark.createDataFrame([(1, "abracadabra"), (2, "barbara")], "doc_id long, text string")
     trusted = spark.createDataFrame([(1,), (2,)], "doc_id long")
     counted = {r["g"]: r["c"] for r in kneser_ney.grams(docs, trusted).collect()}
-    keys, _ = kneser_ney.symbols(["abracadabra", "barbara"])
+    keys, _ = kneser_ney.symbols([("abracadabra", True), ("barbara", True)])
     assert counted == collections.Counter(keys.tolist())
     letters = sorted(set("abracadabrabarbara"))
     context = [ord(c) for c in "abr"]
@@ -95,6 +95,21 @@ def test_classifier_keeps_clean_and_rejects_junk(spark, sf, duck):
     assert len(got) == len(texts(duck))
 
 
+def test_long_texts_come_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["abcdefghij" * 7, "", None, "xyz", "q" * 31]
+    whole = [kneser_ney.symbols([(t or "", True)])[0].tolist() for t in texts]
+    for size in (3, 4, 5, 30, 1000):
+        monkeypatch.setattr(kneser_ney, "CHUNK", size)
+        found = [[] for _ in texts]
+        for at, some in kneser_ney.chunks(pa.array(texts)):
+            keys, starts = kneser_ney.symbols(some)
+            for k, i in enumerate(at):
+                found[i] += keys[starts[k] : starts[k + 1]].tolist()
+        assert found == whole
+
+
 def test_classifier_scores_by_definition(spark, sf, duck):
     """Perplexities of blocks are those of the probabilities looked up one by one."""
     docs = table(spark, sf, "documents").where("doc_id < 20").select("doc_id", "lang", "text")
@@ -102,7 +117,7 @@ def test_classifier_scores_by_definition(spark, sf, duck):
     logp = kneser_ney.materialize(kneser_ney.probabilities(every))
     p = {r["g"]: r["logp"] for r in logp.collect()}
     for r in kneser_ney.scored(docs, logp).collect():
-        keys, _ = kneser_ney.symbols([r["text"]])
+        keys, _ = kneser_ney.symbols([(r["text"], True)])
         assert r["__n"] == len(r["text"]) and abs(r["__nats"] + np.mean([p[k] for k in keys.tolist()])) < 1e-4
 
 
@@ -266,6 +281,13 @@ def test_near_family(spark, monkeypatch, bucket, members, block):
     assert classes_of(spark.createDataFrame(docs, "doc_id long, text string")) == brute_classes(docs)
 
 
+def test_sketch_of_long_texts(monkeypatch):
+    s = order_minhash.kmers(np.random.default_rng(1).integers(1, 10**6, 50_003).astype(np.uint32))
+    by_row = order_minhash.sketch(s)
+    assert len(set(by_row.tolist())) == order_minhash.SKETCHES
+    assert (order_minhash.sketch(s[:49_000]) == by_row).sum() >= 18
+
+
 def test_alignment():
     rng = np.random.default_rng(4)
 
