@@ -1,8 +1,8 @@
 """Byte-level BPE: ranked merges are folded over the byte arrays of distinct words; decoding joins binary pieces.
 
-Two forms of the same fold. ``encode_words`` is the one in Spark higher-order functions with a literal rank map, for a table
-of distinct words. Over whole texts it misses the time limit (README, figures), so ``encode_documents`` folds each distinct
-word of a task once in Python and joins the words' ids; nothing is shuffled there.
+``fold_documents`` splits texts once into blocks (distinct words, and texts as indices of them), folds each distinct word of
+the corpus once by ``encode_words``, Spark higher-order functions with a literal rank map, and joins the ids back to blocks.
+``encode_documents`` gives the same rows without a shuffle, folding the distinct words of each task in Python.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import heapq
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ REMEMBERED = 400_000
 #: Words of more bytes are merged with a heap.
 LONG = 48
 NONE = 2**31 - 1
+#: Bytes of text in a block, at least one document whatever its length; words whose ids are joined at a time.
+BLOCK_BYTES, CHUNK = 32_000_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -197,10 +201,141 @@ def encode_words(word: Column, ranks: Column) -> Column:
     return F.when(n == 0, empty).when(n == 1, F.array(rank(word))).when(rank(word) != none, F.array(rank(word))).otherwise(folded)
 
 
+class Numbered(dict):
+    """Numbers of the distinct words met, from 0."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
+    """block, doc_id, n, words, at: about BLOCK_BYTES of text each. ``words`` are the block's distinct words, the most frequent
+    first; ``at`` holds the numbers of all words of its documents, ``n`` how many each has. ``block`` is a hash of ``words``,
+    so a task that runs again after a loss can only ask for what it asked before, in whatever order its rows come.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(pattern).findall
+        known, ids, n, at, size = Numbered(), [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            all_at = np.concatenate(at)
+            order = np.argsort(-np.bincount(all_at, minlength=len(known)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            words = [w.encode() for w in known]
+            words = [words[i] for i in order]
+            planes = np.ascontiguousarray(rank[all_at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            key = xxhash.xxh64(b"\0".join(words))
+            key.update(np.array(list(map(len, words)), "<i8").tobytes())
+            columns = [pa.array([np.uint64(key.intdigest()).astype(np.int64)]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.binary())), pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "n", "words", "at"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                t = text.as_py() or ""
+                found = split(t)
+                ids.append(doc_id)
+                n.append(len(found))
+                at.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                size += len(t.encode()) + 8
+                if size >= BLOCK_BYTES:
+                    yield out()
+                    known, ids, n, at, size = Numbered(), [], [], [], 0
+        if ids:
+            yield out()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "block long, doc_id array<long>, n array<long>, words array<binary>, at binary").repartition("block")
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of the runs ``which``, one run after the other, and where each of these begins and the last ends."""
+    of = sizes[which]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(of)])
+    return np.repeat(starts[which] - ends[:-1], of) + np.arange(ends[-1]), ends
+
+
+def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, with ``full`` also ids (array<int>) and decoded (binary).
+
+    Each match of ``pattern`` is encoded separately, without special tokens; ids are decoded by joining their pieces. Null
+    and empty texts have no ids; repeated rows give a row each; texts of any length are encoded whole; an empty table
+    gives no rows. Words of more than LONG bytes, for which a fold over arrays is quadratic, are merged with a heap when
+    their block is put together. Shuffled are the blocks, once, and each block's distinct words and their ids.
+    """
+    if set(ranks) < {bytes([i]) for i in range(256)}:
+        raise ValueError("the vocabulary lacks single bytes")
+    blocks = blocks_of(docs, pattern)
+    asked = blocks.select("block", F.posexplode("words").alias("i", "word")).where(F.octet_length("word") <= LONG)
+    folded = asked.select("word").distinct().select("word", encode_words(F.col("word"), rank_map(docs.sparkSession, ranks)).alias("ids"))
+    answers = asked.join(folded, "word").groupBy("block").agg(F.collect_list(F.struct("i", "ids")).alias("known"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {r: p for p, r in ranks.items()}
+        pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        piece_sizes = np.array(list(map(len, pieces)), np.int64)
+        piece_starts, piece_bytes = np.cumsum(piece_sizes) - piece_sizes, np.frombuffer(b"".join(pieces), np.uint8)
+        for batch in batches:
+            for b in range(batch.num_rows):
+                words = batch.column("words")[b].values
+                known = batch.column("known")[b]
+                starts, sizes = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+                flat = np.zeros(0, np.uint32)
+                if known.is_valid:
+                    i, ids = known.values.field("i").to_numpy(), known.values.field("ids")
+                    offsets = ids.offsets.to_numpy().astype(np.int64)
+                    flat = ids.values.to_numpy().astype(np.uint32)
+                    starts[i], sizes[i] = offsets[:-1], np.diff(offsets)
+                for i in np.flatnonzero(sizes < 0):
+                    more = fold_word(words[int(i)].as_py(), ranks)
+                    starts[i], sizes[i] = len(flat), len(more)
+                    flat = np.concatenate([flat, np.array(more, np.uint32)])
+                ends = np.cumsum(batch.column("n")[b].values.to_numpy())
+                total = int(ends[-1])
+                at = np.frombuffer(pa.decompress(batch.column("at")[b].as_buffer(), total * 4, "zstd"), np.uint8).reshape(4, total) if total else np.zeros((4, 0), np.uint8)
+                made: list[list] = [[] for _ in names]
+                hashes, parts, n_tokens, begin, doc, ids_of = (hashlib.sha256(), hashlib.sha256()), [], 0, 0, 0, batch.column("doc_id")[b].values
+                while doc < len(ends):
+                    upto = min(begin + CHUNK, total)
+                    which = np.ascontiguousarray(at[:, begin:upto].T).view("<u4").ravel()
+                    places, word_ends = spread(starts, sizes, which)
+                    ids = flat[places]
+                    places, piece_ends = spread(piece_starts, piece_sizes, ids)
+                    raw, text = ids.astype("<u4").tobytes(), piece_bytes[places].tobytes()
+                    low = 0
+                    while doc < len(ends):
+                        high = int(word_ends[min(int(ends[doc]), upto) - begin])
+                        one = raw[low * 4 : high * 4], text[int(piece_ends[low]) : int(piece_ends[high])]
+                        hashes[0].update(one[0])
+                        hashes[1].update(one[1])
+                        n_tokens += high - low
+                        if full:
+                            parts.append(one)
+                        low = high
+                        if ends[doc] > upto:
+                            break
+                        row = [ids_of[doc].as_py(), n_tokens, hashes[0].hexdigest(), hashes[1].hexdigest()]
+                        row += [np.frombuffer(b"".join(p[0] for p in parts), "<u4").astype(np.int32), b"".join(p[1] for p in parts)] * full
+                        for m, v in zip(made, row, strict=False):
+                            m.append(v)
+                        hashes, parts, n_tokens, doc = (hashlib.sha256(), hashlib.sha256()), [], 0, doc + 1
+                    begin = upto
+                yield pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, kinds, strict=False)], names)
+
+    kept = blocks.join(answers, "block", "left").select("doc_id", "n", "words", "at", "known")
+    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), *default_vocabulary())
+    return fold_documents(table(spark, sf_dir, "documents"), *default_vocabulary())
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: what op7 returns, of the documents that are left."""
-    return encode_documents(docs, *default_vocabulary())
+    return fold_documents(docs, *default_vocabulary())

@@ -340,6 +340,19 @@ def test_bpe_odd(odd, none, coder):
     assert byte_bpe.encode_documents(none, coder[0], coder[1]).count() == 0
 
 
+@pytest.mark.parametrize("block,chunk", [(32_000_000, 1_000_000), (200, 7)])
+def test_bpe_fold_odd(odd, none, coder, monkeypatch, block, chunk):
+    """Blocks and chunks of any size give what the library gives, texts and long words whole."""
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
+    got = byte_bpe.fold_documents(odd, coder[0], coder[1], full=True).collect()
+    want = byte_bpe.encode_documents(odd, coder[0], coder[1], full=True).collect()
+    order = lambda rows: sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["ids"], bytes(r["decoded"])) for r in rows)
+    assert order(got) == order(want)
+    assert sorted(bytes(r["decoded"]).decode() for r in got) == sorted(t["text"] or "" for t in odd.select("text").collect())
+    assert byte_bpe.fold_documents(none, coder[0], coder[1]).count() == 0
+
+
 def test_bpe_fold_in_spark(spark, coder):
     """The fold in higher-order functions gives the same ids."""
     words = ["", "a", " the", "Thntblere", "  \n", "ééé", "😀x", "edtioner" * 5, None]
