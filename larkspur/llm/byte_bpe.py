@@ -10,13 +10,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import io
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import ship, table
@@ -209,6 +211,43 @@ class Numbered(dict):
         return n
 
 
+def packed_words(words: list[bytes]) -> bytes:
+    sink = io.BytesIO()
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(batch)
+    return sink.getvalue()
+
+
+def opened_words(blob: pa.Scalar) -> pa.Array:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch().column("word")
+
+
+def asked(blocks: DataFrame) -> DataFrame:
+    """block, i, word: the distinct words of each block, numbered, but those of more than LONG bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block"), batch.column("words"), strict=True):
+                words = opened_words(blob)
+                i = np.flatnonzero(pc.binary_length(words).to_numpy() <= LONG).astype(np.int32)
+                for at in range(0, len(i), 50_000):
+                    some = i[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block.as_py(), np.int64)), pa.array(some), words.take(pa.array(some))], ["block", "i", "word"])
+
+    return blocks.mapInArrow(run, "block long, i int, word binary")
+
+
+def answered(rows: DataFrame, ranks: Column) -> DataFrame:
+    """block, i, ids of the words ``asked``: each is folded once, where it comes first, and later rows take over its ids.
+
+    A word has a row for each block at most, so what is dealt by word is even, whatever the words' frequencies.
+    """
+    same = Window.partitionBy("word").orderBy("block", "i")
+    rows = rows.withColumn("k", F.row_number().over(same)).withColumn("own", F.when(F.col("k") == 1, encode_words(F.col("word"), ranks)))
+    return rows.select("block", "i", F.first("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
+
+
 def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
     """block, doc_id, n, words, at: about BLOCK_BYTES of text each. ``words`` are the block's distinct words, the most frequent
     first; ``at`` holds the numbers of all words of its documents, ``n`` how many each has. ``block`` is a hash of ``words``,
@@ -231,7 +270,7 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
             planes = np.ascontiguousarray(rank[all_at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
             key = xxhash.xxh64(b"\0".join(words))
             key.update(np.array(list(map(len, words)), "<i8").tobytes())
-            columns = [pa.array([np.uint64(key.intdigest()).astype(np.int64)]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.binary())), pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            columns = [pa.array([np.uint64(key.intdigest()).astype(np.int64)]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([packed_words(words)], pa.binary()), pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "n", "words", "at"])
 
         for batch in batches:
@@ -249,7 +288,7 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, doc_id array<long>, n array<long>, words array<binary>, at binary").repartition("block")
+    return rows.mapInArrow(run, "block long, doc_id array<long>, n array<long>, words binary, at binary").repartition("block")
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +309,7 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
     if set(ranks) < {bytes([i]) for i in range(256)}:
         raise ValueError("the vocabulary lacks single bytes")
     blocks = blocks_of(docs, pattern)
-    asked = blocks.select("block", F.posexplode("words").alias("i", "word")).where(F.octet_length("word") <= LONG)
-    folded = asked.select("word").distinct().select("word", encode_words(F.col("word"), rank_map(docs.sparkSession, ranks)).alias("ids"))
-    answers = asked.join(folded, "word").groupBy("block").agg(F.collect_list(F.struct("i", "ids")).alias("known"))
+    answers = answered(asked(blocks), rank_map(docs.sparkSession, ranks)).groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("ids").alias("ids"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
 
@@ -283,15 +320,14 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
         piece_starts, piece_bytes = np.cumsum(piece_sizes) - piece_sizes, np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
             for b in range(batch.num_rows):
-                words = batch.column("words")[b].values
-                known = batch.column("known")[b]
+                words, known = opened_words(batch.column("words")[b]), batch.column("ids")[b]
                 starts, sizes = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
                 flat = np.zeros(0, np.uint32)
                 if known.is_valid:
-                    i, ids = known.values.field("i").to_numpy(), known.values.field("ids")
+                    i, ids = batch.column("i")[b].values.to_numpy(), known.values
                     offsets = ids.offsets.to_numpy().astype(np.int64)
-                    flat = ids.values.to_numpy().astype(np.uint32)
-                    starts[i], sizes[i] = offsets[:-1], np.diff(offsets)
+                    flat = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.uint32)
+                    starts[i], sizes[i] = offsets[:-1] - offsets[0], np.diff(offsets)
                 for i in np.flatnonzero(sizes < 0):
                     more = fold_word(words[int(i)].as_py(), ranks)
                     starts[i], sizes[i] = len(flat), len(more)
@@ -328,7 +364,7 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
                     begin = upto
                 yield pa.RecordBatch.from_arrays([pa.array(m, k) for m, k in zip(made, kinds, strict=False)], names)
 
-    kept = blocks.join(answers, "block", "left").select("doc_id", "n", "words", "at", "known")
+    kept = blocks.join(answers, "block", "left").select("doc_id", "n", "words", "at", "i", "ids")
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 
