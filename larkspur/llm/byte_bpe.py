@@ -34,8 +34,8 @@ REMEMBERED = 400_000
 #: Words of more bytes are merged with a heap.
 LONG = 48
 NONE = 2**31 - 1
-#: Bytes of text in a block, at least one document whatever its length; words whose ids are joined at a time.
-BLOCK_BYTES, CHUNK = 32_000_000, 1_000_000
+#: Bytes of text in a block, at least one document whatever its length; words whose ids are joined at a time; level of compression.
+BLOCK_BYTES, CHUNK, ZSTD = 64_000_000, 200_000, 5
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -214,7 +214,7 @@ class Numbered(dict):
 def packed_words(words: list[bytes]) -> bytes:
     sink = io.BytesIO()
     batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD))) as to:
         to.write_batch(batch)
     return sink.getvalue()
 
@@ -262,15 +262,17 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             all_at = np.concatenate(at)
+            at.clear()
             order = np.argsort(-np.bincount(all_at, minlength=len(known)), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             words = [w.encode() for w in known]
             words = [words[i] for i in order]
-            planes = np.ascontiguousarray(rank[all_at].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            all_at = rank[all_at].astype("<u4", copy=False)
+            planes = np.ascontiguousarray(all_at.view(np.uint8).reshape(-1, 4).T)
             key = xxhash.xxh64(b"\0".join(words))
             key.update(np.array(list(map(len, words)), "<i8").tobytes())
-            columns = [pa.array([np.uint64(key.intdigest()).astype(np.int64)]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([packed_words(words)], pa.binary()), pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            columns = [pa.array([np.uint64(key.intdigest()).astype(np.int64)]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([packed_words(words)], pa.binary()), pa.array([pa.Codec("zstd", ZSTD).compress(planes, asbytes=True)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "n", "words", "at"])
 
         for batch in batches:
