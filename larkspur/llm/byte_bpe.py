@@ -223,14 +223,18 @@ def opened_words(blob: pa.Scalar) -> pa.Array:
     return pa.ipc.open_stream(blob.as_buffer()).read_next_batch().column("word")
 
 
-def asked(blocks: DataFrame) -> DataFrame:
-    """block, i, word: the distinct words of each block, numbered, but those of more than LONG bytes."""
+def asked(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """block, i, word: the distinct words of each block that need merges, numbered.
+
+    Words that are pieces of the vocabulary have one id and need none; those of more than LONG bytes are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block"), batch.column("words"), strict=True):
                 words = opened_words(blob)
-                i = np.flatnonzero(pc.binary_length(words).to_numpy() <= LONG).astype(np.int32)
+                whole = np.fromiter(map(ranks.__contains__, words.to_pylist()), bool, len(words))
+                i = np.flatnonzero((pc.binary_length(words).to_numpy() <= LONG) & ~whole).astype(np.int32)
                 for at in range(0, len(i), 50_000):
                     some = i[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block.as_py(), np.int64)), pa.array(some), words.take(pa.array(some))], ["block", "i", "word"])
@@ -238,13 +242,14 @@ def asked(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "block long, i int, word binary")
 
 
-def answered(rows: DataFrame, ranks: Column) -> DataFrame:
+def answered(rows: DataFrame, ranks: Column, width: int) -> DataFrame:
     """block, i, ids of the words ``asked``: each is folded once, where it comes first, and later rows take over its ids.
 
-    A word has a row for each block at most, so what is dealt by word is even, whatever the words' frequencies.
+    The ids of a word are one binary value, each a big-endian number of ``width`` bytes. A word has a row for each block at most, so what is dealt by word is even, whatever the words' frequencies.
     """
     same = Window.partitionBy("word").orderBy("block", "i")
-    rows = rows.withColumn("k", F.row_number().over(same)).withColumn("own", F.when(F.col("k") == 1, encode_words(F.col("word"), ranks)))
+    digits = F.transform(encode_words(F.col("word"), ranks), lambda i: F.lpad(F.hex(i), 2 * width, "0"))
+    rows = rows.withColumn("k", F.row_number().over(same)).withColumn("own", F.when(F.col("k") == 1, F.unhex(F.array_join(digits, ""))))
     return rows.select("block", "i", F.first("own", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
 
 
@@ -305,13 +310,14 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
 
     Each match of ``pattern`` is encoded separately, without special tokens; ids are decoded by joining their pieces. Null
     and empty texts have no ids; repeated rows give a row each; texts of any length are encoded whole; an empty table
-    gives no rows. Words of more than LONG bytes, for which a fold over arrays is quadratic, are merged with a heap when
-    their block is put together. Shuffled are the blocks, once, and each block's distinct words and their ids.
+    gives no rows. Words that are pieces themselves are looked up, and words of more than LONG bytes, for which a fold over
+    arrays is quadratic, are merged with a heap, when their block is put together. Shuffled are the blocks, once, and each block's distinct words and their ids.
     """
     if set(ranks) < {bytes([i]) for i in range(256)}:
         raise ValueError("the vocabulary lacks single bytes")
     blocks = blocks_of(docs, pattern)
-    answers = answered(asked(blocks), rank_map(docs.sparkSession, ranks)).groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("ids").alias("ids"))
+    width = (max(ranks.values()).bit_length() + 7) // 8
+    answers = answered(asked(blocks, ranks), rank_map(docs.sparkSession, ranks), width).groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("ids").alias("ids"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
 
@@ -327,13 +333,15 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
                 flat = np.zeros(0, np.uint32)
                 if known.is_valid:
                     i, ids = batch.column("i")[b].values.to_numpy(), known.values
-                    offsets = ids.offsets.to_numpy().astype(np.int64)
-                    flat = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.uint32)
-                    starts[i], sizes[i] = offsets[:-1] - offsets[0], np.diff(offsets)
-                for i in np.flatnonzero(sizes < 0):
-                    more = fold_word(words[int(i)].as_py(), ranks)
-                    starts[i], sizes[i] = len(flat), len(more)
-                    flat = np.concatenate([flat, np.array(more, np.uint32)])
+                    lengths = pc.binary_length(ids).to_numpy().astype(np.int64) // width
+                    starts[i], sizes[i] = np.cumsum(lengths) - lengths, lengths
+                    for byte in np.frombuffer(b"".join(ids.to_pylist()), np.uint8).reshape(-1, width).T:
+                        flat = (flat << 8 | byte) if len(flat) else byte.astype(np.uint32)
+                rest = np.flatnonzero(sizes < 0)
+                more = [fold_word(w, ranks) for w in words.take(pa.array(rest)).to_pylist()]
+                sizes[rest] = list(map(len, more))
+                starts[rest] = len(flat) + np.cumsum(sizes[rest]) - sizes[rest]
+                flat = np.concatenate([flat, np.array([i for ids in more for i in ids], np.uint32)])
                 ends = np.cumsum(batch.column("n")[b].values.to_numpy())
                 total = int(ends[-1])
                 at = np.frombuffer(pa.decompress(batch.column("at")[b].as_buffer(), total * 4, "zstd"), np.uint8).reshape(4, total) if total else np.zeros((4, 0), np.uint8)
