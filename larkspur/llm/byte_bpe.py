@@ -35,7 +35,7 @@ REMEMBERED = 400_000
 LONG = 48
 NONE = 2**31 - 1
 #: Bytes of text in a block, at least one document whatever its length; words whose ids are joined at a time; level of compression.
-BLOCK_BYTES, CHUNK, ZSTD = 64_000_000, 200_000, 5
+BLOCK_BYTES, CHUNK, ZSTD = 64_000_000, 200_000, 9
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -223,18 +223,14 @@ def opened_words(blob: pa.Scalar) -> pa.Array:
     return pa.ipc.open_stream(blob.as_buffer()).read_next_batch().column("word")
 
 
-def asked(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """block, i, word: the distinct words of each block that need merges, numbered.
-
-    Words that are pieces of the vocabulary have one id and need none; those of more than LONG bytes are left out.
-    """
+def asked(blocks: DataFrame) -> DataFrame:
+    """block, i, word: the distinct words of each block, numbered, but those of more than LONG bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block"), batch.column("words"), strict=True):
                 words = opened_words(blob)
-                whole = np.fromiter(map(ranks.__contains__, words.to_pylist()), bool, len(words))
-                i = np.flatnonzero((pc.binary_length(words).to_numpy() <= LONG) & ~whole).astype(np.int32)
+                i = np.flatnonzero(pc.binary_length(words).to_numpy() <= LONG).astype(np.int32)
                 for at in range(0, len(i), 50_000):
                     some = i[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block.as_py(), np.int64)), pa.array(some), words.take(pa.array(some))], ["block", "i", "word"])
@@ -255,7 +251,8 @@ def answered(rows: DataFrame, ranks: Column, width: int) -> DataFrame:
 
 def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
     """block, doc_id, n, words, at: about BLOCK_BYTES of text each. ``words`` are the block's distinct words, the most frequent
-    first; ``at`` holds the numbers of all words of its documents, ``n`` how many each has. ``block`` is a hash of ``words``,
+    first; ``at`` holds the numbers, from 1, of all words of its documents, 0 standing for the next of those that come once,
+    and ``n`` how many each document has. ``block`` is a hash of ``words``,
     so a task that runs again after a loss can only ask for what it asked before, in whatever order its rows come.
     """
 
@@ -268,9 +265,11 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             all_at = np.concatenate(at)
             at.clear()
-            order = np.argsort(-np.bincount(all_at, minlength=len(known)), kind="stable")
+            counts = np.bincount(all_at, minlength=len(known))
+            order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order))
+            rank[order] = np.arange(1, len(order) + 1)
+            rank[counts == 1] = 0
             words = [w.encode() for w in known]
             words = [words[i] for i in order]
             all_at = rank[all_at].astype("<u4", copy=False)
@@ -310,14 +309,14 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
 
     Each match of ``pattern`` is encoded separately, without special tokens; ids are decoded by joining their pieces. Null
     and empty texts have no ids; repeated rows give a row each; texts of any length are encoded whole; an empty table
-    gives no rows. Words that are pieces themselves are looked up, and words of more than LONG bytes, for which a fold over
-    arrays is quadratic, are merged with a heap, when their block is put together. Shuffled are the blocks, once, and each block's distinct words and their ids.
+    gives no rows. Words of more than LONG bytes, for which a fold over arrays is quadratic, are merged with a heap when
+    their block is put together. Shuffled are the blocks, once, and each block's distinct words and their ids.
     """
     if set(ranks) < {bytes([i]) for i in range(256)}:
         raise ValueError("the vocabulary lacks single bytes")
     blocks = blocks_of(docs, pattern)
     width = (max(ranks.values()).bit_length() + 7) // 8
-    answers = answered(asked(blocks, ranks), rank_map(docs.sparkSession, ranks), width).groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("ids").alias("ids"))
+    answers = answered(asked(blocks), rank_map(docs.sparkSession, ranks), width).groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("ids").alias("ids"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
 
@@ -345,11 +344,15 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
                 ends = np.cumsum(batch.column("n")[b].values.to_numpy())
                 total = int(ends[-1])
                 at = np.frombuffer(pa.decompress(batch.column("at")[b].as_buffer(), total * 4, "zstd"), np.uint8).reshape(4, total) if total else np.zeros((4, 0), np.uint8)
+                alone = len(words) - int(np.count_nonzero(~at.any(0)))
                 made: list[list] = [[] for _ in names]
                 hashes, parts, n_tokens, begin, doc, ids_of = (hashlib.sha256(), hashlib.sha256()), [], 0, 0, 0, batch.column("doc_id")[b].values
                 while doc < len(ends):
                     upto = min(begin + CHUNK, total)
-                    which = np.ascontiguousarray(at[:, begin:upto].T).view("<u4").ravel()
+                    which = np.ascontiguousarray(at[:, begin:upto].T).view("<u4").ravel().astype(np.int64) - 1
+                    once = np.flatnonzero(which < 0)
+                    which[once] = alone + np.arange(len(once))
+                    alone += len(once)
                     places, word_ends = spread(starts, sizes, which)
                     ids = flat[places]
                     places, piece_ends = spread(piece_starts, piece_sizes, ids)
