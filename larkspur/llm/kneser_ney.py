@@ -27,8 +27,9 @@ BLOCK_BYTES = 8_000_000
 #: Code points worked on at a time, three at least.
 CHUNK = 1_000_000
 #: A text is rejected if its nats per character lie further above its language's median than so many interquartile ranges
-#: (of LEAST_IQR at least), the excess being shrunk by n / (n + SHRINK) for a text of n characters.
-FENCE, LEAST_IQR, SHRINK = 4.0, 0.1, 120.0
+#: (of LEAST_IQR at least, far below those of real text, where it never decides), the excess being shrunk by
+#: n / (n + SHRINK) for a text of n characters.
+FENCE, LEAST_IQR, SHRINK = 2.5, 0.01, 600.0
 #: Languages with fewer documents are held against the quantiles of all.
 LEAST_DOCS = 50
 
@@ -242,11 +243,15 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     all_grams = materialize(grams(docs, trusted))
     rows = scored(docs, materialize(probabilities(all_grams)))
+    return fenced(rows, docs.select("lang").distinct().limit(50_001).count() <= 50_000)
+
+
+def fenced(rows: DataFrame, few: bool) -> DataFrame:
+    """``rows`` (lang, __n, __nats and others) with __kept; ``few``: the languages' quantiles can be broadcast."""
     of = rows.where("__n > 0").rollup("lang").agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("docs"), F.percentile(F.round("__nats", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     whole = Window.partitionBy(F.lit(1))
     of = of.withColumn("all", F.max(F.when(F.col("gid") == 1, F.col("q"))).over(whole)).where("gid = 0")
     of = of.select(F.col("lang").alias("__of"), F.when(F.col("docs") >= LEAST_DOCS, F.col("q")).otherwise(F.col("all")).alias("__q"))
-    few = docs.select("lang").distinct().limit(50_001).count() <= 50_000
     rows = rows.join(F.broadcast(of) if few else of, F.col("lang").eqNullSafe(F.col("__of")), "left")
     excess = (F.col("__nats") - F.col("__q")[1]) * F.col("__n") / (F.col("__n") + SHRINK)
     limit = FENCE * F.greatest(F.col("__q")[2] - F.col("__q")[0], F.lit(LEAST_IQR))

@@ -95,6 +95,23 @@ def test_classifier_keeps_clean_and_rejects_junk(spark, sf, duck):
     assert len(got) == len(texts(duck))
 
 
+def test_classifier_fence_follows_the_language(spark):
+    """The same excess goes in a language of even texts and stays in one of uneven texts, and in a short text."""
+    some = [(i, lang, 5000, 2.0 + width * (i % 100 - 50) / 50) for lang, width in (("even", 0.04), ("uneven", 0.4)) for i in range(200)]
+    some += [(1000, "even", 5000, 2.3), (1001, "uneven", 5000, 2.3), (1002, "even", 60, 2.3)]
+    rows = spark.createDataFrame(some, "doc_id long, lang string, __n long, __nats double")
+    got = {r["doc_id"]: r["__kept"] for r in kneser_ney.fenced(rows, True).where("doc_id >= 1000").collect()}
+    assert got == {1000: False, 1001: True, 1002: True}
+
+
+def test_classifier_keeps_little_junk(spark, duck):
+    sf = "/root/testdata/sf0.1"
+    kept = dict(llm.queries()["op2_kneser_ney_quality"](spark, sf).select("doc_id", "kept").collect())
+    labels = duck.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall()
+    good, bad = [kept[i] for i, q in labels if q], [kept[i] for i, q in labels if not q]
+    assert sum(bad) <= 0.11 * len(bad) and sum(good) >= 0.998 * len(good)
+
+
 def test_long_texts_come_in_pieces(monkeypatch):
     import pyarrow as pa
 
