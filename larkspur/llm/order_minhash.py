@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,11 @@ ship(__name__)
 
 #: Words of a k-mer, and the least similarity: shared distinct k-mers over all, and words kept in order over the longer text.
 K, SIMILARITY = 5, 0.8
-#: Sketches, and k-mers that each samples. At a similarity of 0.8 a pair shares no sketch with a chance of 3 in a million.
+#: Sketches, and k-mers that each samples. At a similarity of 0.8 a pair of long texts shares no sketch with a chance of 3 in a
+#: million, and a pair with 15 distinct k-mers between them with 2 in a hundred thousand.
 SKETCHES, SAMPLED = 24, 4
+#: Texts of so many distinct k-mers at most also have exact keys, which no linked pair of them can miss.
+EXACT = 14
 #: Buckets of more documents are compared in blocks; up to it as single pairs.
 BUCKET = 32
 #: Documents compared with one leader in one task at most, and documents of a block.
@@ -90,6 +94,22 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return key
 
 
+def exact_keys(s: np.ndarray) -> np.ndarray:
+    """Keys of a short text's distinct k-mers, and of these with as many left out as a similar text may lack; none of a longer one.
+
+    Of texts with SIMILARITY of their k-mers in common, each has at most 1 - SIMILARITY of its own alone, so the common ones
+    are a key of both.
+    """
+    v = mixed(np.unique(s) ^ _C3)
+    if len(v) > EXACT:
+        return np.zeros(0, np.uint64)
+    keys = [v.sum(keepdims=True)]
+    for k in range(1, int((1 - SIMILARITY) * len(v) + 1e-9) + 1):
+        gone = np.array(list(combinations(range(len(v)), k)))
+        keys.append(keys[0] - v[gone].sum(1))
+    return mixed(np.concatenate(keys) * _C1)
+
+
 def row_id(doc_id: str, text: str) -> Column:
     """doc_id; a row without one gets a number of its text, larger than ids in use."""
     return F.coalesce(F.col(doc_id), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
@@ -107,7 +127,8 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for t in b.column("text"):
                     w = words_of(t.as_py(), known)
                     nodes.append(xxhash.xxh64_intdigest(w.tobytes()) - 2**63 if len(w) else None)
-                    keys.append(sketch(kmers(w)).view(np.int64) if len(w) else None)
+                    s = kmers(w)
+                    keys.append(np.concatenate([sketch(s), exact_keys(s)]).view(np.int64) if len(w) else None)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "rid", "node", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
@@ -218,7 +239,7 @@ def led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, rid, class_id, kept of every row of ``docs``.
 
-    Two texts are linked if they share a sketch, 0.8 of their distinct k-mers, and 0.8 of their words in order; classes are
+    Two texts are linked if they share a sketch or an exact key, 0.8 of their distinct k-mers, and 0.8 of their words in order; classes are
     the connected texts, named by the smallest doc_id in them. Words are lower-cased and stripped of punctuation at their
     ends; texts with equal words are one node. Null and empty texts, and those of punctuation only, are classes of their own.
     Rows without doc_id are numbered by their text. Equal rows share a class. An empty table gives no rows.

@@ -330,6 +330,30 @@ def test_near_odd(spark, odd, none):
     assert sorted(r["text"] or "" for r in kept.collect()).count("a b c d e f") == 1
 
 
+def test_short_near_copies_are_never_missed(spark):
+    """Eight words against nine: 4 of 5 k-mers, of which a sketch samples 4."""
+    rng = np.random.default_rng(6)
+    some = []
+    for i in range(1500):
+        n = 8 + i % 3 * 2
+        w = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n + 1)]
+        some += [(2 * i, " ".join(w[:n])), (2 * i + 1, " ".join(w))]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert [i for i in range(1500) if got[2 * i] != got[2 * i + 1]] == []
+
+
+def test_exact_keys_of_all_similar_sets():
+    rng = np.random.default_rng(7)
+    for _ in range(3000):
+        m = rng.integers(1, order_minhash.EXACT + 1)
+        a = rng.choice(order_minhash.EXACT + 4, m, replace=False).astype(np.uint64)
+        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, 3) :], rng.choice(order_minhash.EXACT + 4, rng.integers(0, 3), replace=False).astype(np.uint64)]))
+        if 0 < len(b) <= order_minhash.EXACT and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert np.intersect1d(order_minhash.exact_keys(a), order_minhash.exact_keys(np.repeat(b, 2))).size
+    assert not order_minhash.exact_keys(np.arange(order_minhash.EXACT + 1, dtype=np.uint64)).size
+
+
 # 7 BPE
 
 
