@@ -94,8 +94,10 @@ def judged(docs: DataFrame) -> DataFrame:
     """COUNTS, metrics, base_failed and kept of every row of ``docs``, whatever its other columns.
 
     Rows that pass the base rules are sketched by (lang, source); a row is kept if each metric lies within FENCE
-    interquartile ranges of its group's quartiles. Null languages and sources are groups of their own; null and empty
-    texts have no words and fail the base; repeated rows count each; an empty table gives no rows.
+    interquartile ranges of its group's quartiles, a range counting as the fixed least width in METRICS at least: where the
+    real one is narrower, as for every metric of sf0.1, the width of the fence is that constant. Null languages and sources
+    are groups of their own; null and empty texts have no words and fail the base; repeated rows count each; an empty table
+    gives no rows.
     """
     rows = materialize(with_metrics(measured(docs)))
     fine = materialize(sketch(rows.where(~F.col("base_failed"))))
