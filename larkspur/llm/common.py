@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a side may have at most before it is joined by a shuffle instead of a broadcast (narrow rows only).
-BROADCAST_ROWS = 500_000
+#: Bytes of values a side may have at most, by its own count, before it is joined by a shuffle instead of a broadcast.
+BROADCAST_BYTES = 24_000_000
 
 
 def ship(name: str) -> None:
@@ -26,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only if that is unset, as in tests."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only in local mode, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-"))
+        said = sc.getConf().get("spark.checkpoint.dir")
+        if not said and not re.match(r"local(\[(\d+|\*)(,\d+)?\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(said or tempfile.mkdtemp(prefix="larkspur-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -39,12 +44,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to have ``rows`` rows at most; otherwise as it is, for a shuffled join.
+def byte_count(df: DataFrame) -> int:
+    """Bytes of all values, with 8 for each row and for each string, binary, array or struct."""
+    fixed, varying = 8, F.lit(0).cast("long")
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            fixed, varying = fixed + 8, varying + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+            fixed, varying = fixed + 8, varying + F.octet_length(F.to_json(F.struct(c)))
+        else:
+            fixed += 8
+    return df.agg(F.sum(varying + fixed)).first()[0] or 0
 
-    ``df`` should be materialized: it is counted here.
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values take ``most`` bytes at most; otherwise as it is, for a shuffled join.
+
+    ``df`` should be materialized: its bytes are counted here.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if byte_count(df) <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def with_columns_of(df: DataFrame, docs: DataFrame) -> DataFrame:

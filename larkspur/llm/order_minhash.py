@@ -1,8 +1,9 @@
 """Near-dedup by Order MinHash (Marcais et al. 2019): each sketch samples several minimum occurrence-labelled k-mers of words
-and keeps them in text order; documents that share a sketch are candidates, verified by banded alignment."""
+and keeps them in text order; documents that share a sketch are candidates, verified by banded alignment alone."""
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 from itertools import combinations
@@ -14,25 +15,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize, ship, small_side, table, with_columns_of
+from larkspur.llm.common import fresh, materialize, ship, small_side, table, with_columns_of
 from larkspur.llm.components import connected
 
 ship(__name__)
 
-#: Words of a k-mer, and the least similarity: shared distinct k-mers over all, and words kept in order over the longer text.
+#: Words of a k-mer, and the least similarity: 1 - edits / words of the longer text, an edit being a word put in, left out or replaced.
 K, SIMILARITY = 5, 0.8
-#: Sketches, and k-mers that each samples. At a similarity of 0.8 a pair of long texts shares no sketch with a chance of 3 in a
-#: million, and a pair with 15 distinct k-mers between them with 2 in a hundred thousand.
-SKETCHES, SAMPLED = 24, 4
-#: Texts of so many distinct k-mers at most also have exact keys, which no linked pair of them can miss.
+#: Sketches, and k-mers that each samples.
+SKETCHES, SAMPLED = 40, 2
+#: Texts of so many words at most also have sketches of shorter k-mers, as a few edits leave them few long ones whole.
+SHORT, SHORT_K, SHORT_SKETCHES = 300, 3, 16
+#: Texts of so many words at most also have exact keys, which no linked pair of them can miss.
 EXACT = 14
 #: Buckets of more documents are compared in blocks; up to it as single pairs.
 BUCKET = 32
-#: Documents compared with one leader in one task at most, and documents of a block.
-MEMBERS, BLOCK = 64, 512
+#: Documents compared with one leader in one part at most, documents of a block, and words of a part, a block or a task's unit.
+MEMBERS, BLOCK, UNIT_WORDS = 64, 512, 1_000_000
+#: Words that occur more often in a text are found by one long integer, others by their places.
+OFTEN = 24
 
-_ODD = np.random.default_rng(41).integers(1, 2**63, (2, SKETCHES), np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(41).integers(1, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MOST = np.uint64(2**64 - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,55 +64,71 @@ def words_of(text: str | None, known: Words) -> np.ndarray:
     return w[w != 0]
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
+def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     """Hashes of the k-mers in text order; one for the whole text if it is shorter, none without words."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    w, k = words.astype(np.uint64), min(K, len(words))
+    w, k = words.astype(np.uint64), min(k, len(words))
     s = np.zeros(len(w) - k + 1, np.uint64)
     for j in range(k):
         s = mixed(s * _C1 + w[j : len(w) - k + 1 + j])
     return s
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """SKETCHES bucket keys of a text's k-mers."""
+def labelled(s: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Each hash with its number among its equals, of the same text if ``of`` names the text of each: no two are equal there."""
     n = len(s)
-    order = np.argsort(s, kind="stable")
-    run = s[order]
+    own = s if of is None else mixed(s ^ mixed(of.astype(np.uint64) * _C3 + _C1))
+    order = np.argsort(own, kind="stable")
+    run = own[order]
     fresh = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     nth = np.empty(n, np.uint64)
     nth[order] = (np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))).astype(np.uint64)
-    labelled = mixed(s + nth * _C1)
-    if n > SAMPLED:
-        at, some = np.empty((SKETCHES, SAMPLED), np.int64), SKETCHES if n < 50_000 else 1  # one after the other for long texts
-        for i in range(0, SKETCHES, some):
-            v = labelled[None] * _ODD[0][i : i + some, None] + _ODD[1][i : i + some, None]
-            v ^= v >> np.uint64(32)
-            v *= _C2
-            at[i : i + some] = np.sort(np.argpartition(v, SAMPLED - 1, 1)[:, :SAMPLED], 1)
-    else:
-        at = np.broadcast_to(np.arange(n), (SKETCHES, n))
-    key = np.arange(1, SKETCHES + 1, dtype=np.uint64) * _C3
+    return mixed(s + nth * _C1)
+
+
+def sketch(s: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+    """Bucket keys of a text's k-mers: under each of several orders, its SAMPLED least labelled k-mers as they follow in the text."""
+    n, marked = len(s), labelled(s)
+    at, some = np.empty((sketches, min(SAMPLED, n)), np.int64), max(1, 1_000_000 // n)  # a few orders at a time for long texts
+    for i in range(0, sketches, some):
+        v = marked[None] * _ODD[i : min(i + some, sketches), None]
+        for j in range(at.shape[1]):
+            least = v.argmin(1)
+            at[i : i + some, j] = least
+            v[np.arange(len(v)), least] = _MOST
+    at.sort(1)
+    key = np.arange(1, sketches + 1, dtype=np.uint64) * _C3
     for j in range(at.shape[1]):
         key = mixed(key * _C1 + s[at[:, j]])
     return key
 
 
-def exact_keys(s: np.ndarray) -> np.ndarray:
-    """Keys of a short text's distinct k-mers, and of these with as many left out as a similar text may lack; none of a longer one.
+def exact_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of a short text's words, and of these with as many left out as may differ from a similar one; none of a longer text.
 
-    Of texts with SIMILARITY of their k-mers in common, each has at most 1 - SIMILARITY of its own alone, so the common ones
-    are a key of both.
+    Of two texts that are linked each has at most 1 - SIMILARITY of its words besides those that both have in order, so
+    what they have in order is a key of both.
     """
-    v = mixed(np.unique(s) ^ _C3)
-    if len(v) > EXACT:
+    n = len(words)
+    if n > EXACT:
         return np.zeros(0, np.uint64)
-    keys = [v.sum(keepdims=True)]
-    for k in range(1, int((1 - SIMILARITY) * len(v) + 1e-9) + 1):
-        gone = np.array(list(combinations(range(len(v)), k)))
-        keys.append(keys[0] - v[gone].sum(1))
-    return mixed(np.concatenate(keys) * _C1)
+    keys = []
+    for gone in range(allowed(n) + 1):
+        left = words.astype(np.uint64)[np.array(list(combinations(range(n), n - gone)))]
+        key = np.full(len(left), _C2 + np.uint64(n - gone))
+        for j in range(n - gone):
+            key = mixed(key * _C1 + left[:, j])
+        keys.append(key)
+    return np.concatenate(keys)
+
+
+def keys_of(words: np.ndarray) -> np.ndarray:
+    """All bucket keys of a text, each once."""
+    keys = [sketch(kmers(words)), exact_keys(words)]
+    if len(words) <= SHORT:
+        keys.append(mixed(sketch(kmers(words, SHORT_K), SHORT_SKETCHES) + _C2))
+    return np.unique(np.concatenate(keys))
 
 
 def row_id(doc_id: str, text: str) -> Column:
@@ -115,28 +136,33 @@ def row_id(doc_id: str, text: str) -> Column:
     return F.coalesce(F.col(doc_id), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, h, text: a row is known by rid and h, the hash of its text, as several texts may have one doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", row_id("doc_id", "text").alias("rid"), F.xxhash64("text").alias("h"), "text")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, node, sketch: node is a hash of the word sequence (null without words), equal for equal texts."""
+    """doc_id, rid, h, node, size, sketch: node is a hash of the word sequence (null without words), equal for equal texts; size counts its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 b = batch.slice(start, 1000)
-                nodes, keys = [], []
+                nodes, sizes, keys = [], [], []
                 for t in b.column("text"):
                     w = words_of(t.as_py(), known)
                     nodes.append(xxhash.xxh64_intdigest(w.tobytes()) - 2**63 if len(w) else None)
-                    s = kmers(w)
-                    keys.append(np.concatenate([sketch(s), exact_keys(s)]).view(np.int64) if len(w) else None)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "rid", "node", "sketch"])
+                    sizes.append(len(w))
+                    keys.append(keys_of(w).view(np.int64) if len(w) else None)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "rid", "h")), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "rid", "h", "node", "size", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, rid long, node long, sketch array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, rid long, h long, node long, size int, sketch array<long>")
 
 
 def word_hashes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, words (array<int>) of the texts whose rid is that of a node in ``nodes`` (node, rid)."""
+    """node, words (array<int>) of the texts whose rid and h are those of a node in ``nodes`` (rid, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -147,59 +173,95 @@ def word_hashes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 node = [xxhash.xxh64_intdigest(w.tobytes()) - 2**63 for w in found]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([w.view(np.int32) for w in found], pa.list_(pa.int32()))], ["node", "words"])
 
-    rows = docs.select(row_id("doc_id", "text").alias("rid"), F.col("text").cast("string").alias("text"))
-    found = rows.join(small_side(nodes.select("rid")), "rid", "left_semi").select("text").mapInArrow(run, "node long, words array<int>")
+    found = keyed(docs).join(small_side(nodes.select("rid", "h")), ["rid", "h"], "left_semi").select("text").mapInArrow(run, "node long, words array<int>")
     return found.groupBy("node").agg(F.first("words").alias("words"))
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the edit distance of two word sequences is at most (1 - least) of the longer, within a band of that width."""
-    n, m = len(a), len(b)
-    most = int((1 - least) * max(n, m) + 1e-9)
-    if abs(n - m) > most:
+def allowed(words: int) -> int:
+    """Edits that a link may have, by the longer text's words."""
+    return int((1 - SIMILARITY) * words + 1e-9)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance of two word sequences is ``most`` at most.
+
+    The alignment is banded: only diagonals that a way of ``most`` edits can reach are computed, and a column of the band is
+    one long integer of differences between neighbours (Myers 1999, Hyyrö 2003), so a step costs band / 64 machine words.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    gap = len(a) - len(b)
+    if gap > most:
         return False
-    head = next((i for i in range(min(n, m)) if a[i] != b[i]), min(n, m)) if n and m and a[0] == b[0] else 0
-    a, b = a[head:], b[head:]
-    n, m = len(a), len(b)
-    # Cells of row i are b's places i - most ... i + most; what lies outside needs more edits than allowed.
-    offs = np.arange(-most, most + 1)
-    row = np.where(offs >= 0, offs, most + 1).astype(np.int64)
-    for i in range(1, n + 1):
-        j = i + offs
-        inside = (j >= 1) & (j <= m)
-        same = np.zeros(len(offs), np.int64)
-        same[inside] = b[j[inside] - 1] != a[i - 1]
-        now = np.where(inside, row + same, most + 1)
-        now[:-1] = np.minimum(now[:-1], row[1:] + 1)
-        now = np.where(j == 0, i, np.where((j < 0) | (j > m), most + 1, now))
-        row = np.minimum.accumulate(now - offs) + offs
-        row = np.where((j < 0) | (j > m), most + 1, row)
-        if row.min() > most:
-            return False
-    k = m - n + most
-    return 0 <= k < len(row) and bool(row[k] <= most)
-
-
-def kept_in_order(s: np.ndarray, t: np.ndarray, n: int) -> bool:
-    """Whether k-mers that both texts have once, in the same order in both, show at once that enough words align."""
-    u, iu, cu = np.unique(s, return_index=True, return_counts=True)
-    v, iv, cv = np.unique(t, return_index=True, return_counts=True)
-    _, x, y = np.intersect1d(u[cu == 1], v[cv == 1], assume_unique=True, return_indices=True)
-    x, y = iu[cu == 1][x], iv[cv == 1][y]
-    y = y[np.argsort(x)]
-    return bool(len(y)) and bool((np.diff(y) > 0).all()) and len(y) >= SIMILARITY * n
+    k = len(b)
+    other = np.flatnonzero(a[:k] != b)
+    head = int(other[0]) if len(other) else k
+    other = np.flatnonzero(a[gap + head :][::-1] != b[head:][::-1])
+    tail = int(other[0]) if len(other) else k - head
+    a, b = a[head : len(a) - tail].tolist(), b[head : k - tail].tolist()
+    if not b:
+        return True
+    # Bit q of column j stands for row j - reach + q, its last one for the diagonal gap + reach.
+    reach = (most - gap) // 2
+    width = gap + 2 * reach + 1
+    mask, goal, score = (1 << width) - 1, gap + reach, gap
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    whole = {x: sum_of_bits(at) for x, at in places.items() if len(at) > OFTEN}
+    up, down = mask ^ ((1 << reach) - 1), 0  # where a row is one more, or one less, than the row before
+    for j, x in enumerate(b):
+        base, same = j - reach, 0
+        if x in whole:
+            same = (whole[x] >> base if base >= 0 else whole[x] << -base) & mask
+        else:
+            for i in places.get(x, ()):
+                if 0 <= i - base < width:
+                    same |= 1 << (i - base)
+        free = ((((same & up) + up) ^ up) | same | down) & mask  # no edit from the diagonal's last cell
+        if not free >> goal & 1:
+            score += 1
+            if score > most:
+                return False
+        right, left = down | (mask & ~(free | up)), free & up
+        up, down = left | (mask & ~((free >> 1) | right)), (free >> 1) & right
+    return True
+
+
+def sum_of_bits(at: list[int]) -> int:
+    bits = np.zeros(at[-1] + 1, np.uint8)
+    bits[at] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def pairs_of_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled pairs of neighbouring words of each text, one after the other, and where each text begins (and the last ends).
+
+    A text of one word has its word instead, so none is empty.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat, of = np.concatenate(words).astype(np.uint64), np.repeat(np.arange(len(words)), sizes)
+    last = np.cumsum(sizes) - 1
+    following = np.append(flat[1:], np.uint64(0))
+    following[last] = 0
+    keep = np.ones(len(flat), bool)
+    keep[last[sizes > 1]] = False
+    flat, of = mixed(mixed(flat * _C1) + following)[keep], of[keep]
+    return labelled(flat, of), np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 1))])
 
 
 def unit_links(part: pd.DataFrame) -> pd.DataFrame:
-    """Links between leaders (side 0) and others (1), 2 being both, of different components, until all that can are joined."""
-    part = part.drop_duplicates(["node", "side"])
-    nodes, side, comp = part["node"].tolist(), part["side"].to_numpy(), part["component"].tolist()
-    words = [np.asarray(w, np.int32) for w in part["words"]]
-    grams = [kmers(w.view(np.uint32)) for w in words]
-    sets = [np.unique(g) for g in grams]
-    vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    start = np.concatenate([[0], np.cumsum(size)])
+    """Links between leaders (side 0) and others (1), 2 being both, of each ``group``, until all that can are joined.
+
+    An edit leaves all but two pairs of neighbouring words as they are, so texts that share fewer of them than the edits
+    allowed leave cannot be linked; every other pair of different components is aligned.
+    """
+    part = part.drop_duplicates(["group", "node", "side"]).sort_values(["group", "side", "node"], kind="stable")
+    nodes, side, comp, group = part["node"].tolist(), part["side"].to_numpy(), part["component"].tolist(), part["group"].to_numpy()
+    words = [np.asarray(w, np.int32).view(np.uint32) for w in part["words"]]
+    size = np.array([len(w) for w in words])
+    shared, start = pairs_of_words(words)
+    vocab, at = np.unique(shared, return_inverse=True)
     parent = {c: c for c in comp}
 
     def find(c: int) -> int:
@@ -209,92 +271,129 @@ def unit_links(part: pd.DataFrame) -> pd.DataFrame:
         return c
 
     out, mark = [], np.zeros(len(vocab), np.int64)
-    for i in np.flatnonzero(side != 1):
-        mine = at[start[i] : start[i + 1]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[at], start[:-1])
-        mark[mine] = 0
-        for j in np.flatnonzero((both >= SIMILARITY * (size + size[i] - both) - 1e-9) & (side != 0)):
-            p, q = find(comp[i]), find(comp[j])
-            if p != q and (kept_in_order(grams[i], grams[j], max(len(words[i]), len(words[j]))) or aligned(words[i], words[j], SIMILARITY)):
-                parent[q] = p
-                out.append((nodes[i], nodes[j]))
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    for low, high in zip(begins, np.append(begins[1:], len(group)), strict=True):
+        others = low + int((side[low:high] == 0).sum())  # sides are sorted
+        if others == high:
+            continue
+        theirs, bounds = at[start[others] : start[high]], start[others:high] - start[others]
+        for i in range(low, high):
+            if side[i] == 1:
+                continue
+            mine = at[start[i] : start[i + 1]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[theirs], bounds)
+            mark[mine] = 0
+            longer = np.maximum(size[others:high], size[i])
+            most = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+            fits = (longer - np.minimum(size[others:high], size[i]) <= most) & (both >= longer - 1 - 2 * most)
+            for j in np.flatnonzero(fits):
+                p, q = find(comp[i]), find(comp[others + j])
+                if p != q and aligned(words[i], words[others + j], int(most[j])):
+                    parent[q] = p
+                    out.append((nodes[i], nodes[others + j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def verified(rows: DataFrame, by: list[str], texts: DataFrame) -> DataFrame:
-    """Links of units: ``rows`` has the unit's columns ``by``, node, side and component."""
-    return materialize(rows.join(texts, "node").groupBy(*by).applyInPandas(unit_links, "a long, b long"))
+def verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of groups: ``rows`` has group, node, size, side and component. Groups are dealt over units of about UNIT_WORDS."""
+    rows = materialize(rows)
+    units = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / UNIT_WORDS))
+    rows = rows.drop("size").join(texts, "node").withColumn("unit", F.pmod(F.xxhash64("group"), F.lit(units)))
+    return materialize(rows.groupBy("unit").applyInPandas(unit_links, "a long, b long"))
 
 
 def led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among ``pairs`` (lead, node, lead_component, component); a leader's members are dealt over several units."""
-    many = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    dealt = materialize(pairs.join(many, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
-    members = dealt.select("lead", "part", "node", F.lit(1).alias("side"), "component")
-    leaders = dealt.select("lead", "part", F.col("lead").alias("node"), F.lit(0).alias("side"), F.col("lead_component").alias("component")).distinct()
-    return verified(members.unionByName(leaders), ["lead", "part"], texts)
+    """Links among ``pairs`` (lead, node, lead_size, size, lead_component, component); a leader's members are dealt over several groups."""
+    pairs = materialize(pairs)
+    many = pairs.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / UNIT_WORDS)).cast("int").alias("parts"))
+    dealt = pairs.join(many, "lead").withColumn("group", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    sides = [F.struct(F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.lit(0).alias("side"), F.col("lead_component").alias("component")), F.struct("node", "size", F.lit(1).alias("side"), "component")]
+    rows = dealt.select("group", F.explode(F.array(*sides)).alias("x")).select("group", "x.*")
+    return verified(rows.groupBy("group", "node", "side").agg(F.first("size").alias("size"), F.min("component").alias("component")), texts)
+
+
+def near_in_length(a: str, b: str) -> Column:
+    return F.greatest(a, b) - F.least(a, b) <= F.floor((1 - SIMILARITY) * F.greatest(a, b) + 1e-9)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, class_id, kept of every row of ``docs``.
+    """doc_id, rid, h, class_id, class_text, kept of every row of ``docs`` (doc_id, text; other columns are not read).
 
-    Two texts are linked if they share a sketch or an exact key, 0.8 of their distinct k-mers, and 0.8 of their words in order; classes are
-    the connected texts, named by the smallest doc_id in them. Words are lower-cased and stripped of punctuation at their
-    ends; texts with equal words are one node. Null and empty texts, and those of punctuation only, are classes of their own.
-    Rows without doc_id are numbered by their text. Equal rows share a class. An empty table gives no rows.
+    Two texts are linked if they share a bucket key and the words of the longer are kept but for 1 - SIMILARITY of them in
+    edits. Classes are the connected texts, named by the smallest doc_id in them (class_id) and, as several texts may have
+    that, the hash of its text (class_text); the row of that name is kept. Words are lower-cased and stripped of
+    punctuation at their ends; texts with equal words are one node. Null and empty texts, and those of punctuation only,
+    are classes of their own. A doc_id with several texts is several rows; rows without doc_id are numbered by their text;
+    equal rows share a class and are all kept or none. Very long texts are sketched and aligned whole. An empty table gives no rows.
 
     Every bucket's members are first compared with its smallest one, a number of pairs in proportion to the rows. What that
-    does not join is compared in full: pairs of different components in small buckets, blocks against blocks in large ones.
+    does not join is compared in full, texts of lengths that can be linked with each other: pairs of different components in
+    small buckets, blocks against blocks in large ones.
     """
     rows = materialize(sketched(docs))
-    nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("sketch").alias("sketch")))
-    entries = nodes.select(F.explode("sketch").alias("bucket"), "node").distinct()
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-    entries = materialize(entries.join(shared, "bucket"))
-    texts = materialize(word_hashes(docs, materialize(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "rid"))))
-
-    star = entries.where("node <> lead").select("lead", "node").distinct()
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("node", "first", "size", "sketch"))
+    entries = nodes.select(F.explode("sketch").alias("bucket"), "node", "size")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1")
+    shared = materialize(shared.select("bucket", "n", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")))
+    entries = materialize(entries.join(small_side(shared), "bucket"))
+    needed = materialize(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("first.*"))
+    texts = materialize(word_hashes(docs, needed))
+
+    star = entries.where((F.col("node") != F.col("lead")) & near_in_length("size", "lead_size")).select("lead", "lead_size", "node", "size").distinct()
     links = led(star.withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node")), texts)
     groups = materialize(connected(links))
 
-    labelled = entries.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = labelled.where("n > 2").groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    split = split.where("lo <> hi").groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    left = materialize(labelled.join(split.select("bucket"), "bucket"))
-    few = left.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("all"))
-    later = F.transform(F.col("all"), lambda x, i: F.struct(x.alias("a"), F.filter(F.slice("all", i + 2, BUCKET), lambda y: y["component"] != x["component"]).alias("rest")))
-    pairs = few.select(F.explode(F.filter(later, lambda x, i: i > 0)).alias("p")).select("p.a", F.explode("p.rest").alias("b"))  # the first led already
-    pairs = pairs.select(F.col("a.node").alias("lead"), F.col("b.node").alias("node"), F.col("a.component").alias("lead_component"), F.col("b.component").alias("component")).distinct()
+    labels = entries.join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Texts that can be linked lie in the same class of lengths or in neighbouring ones.
+    length = F.floor(F.log("size") / -math.log(SIMILARITY - 1e-6)).cast("int")
+    split = labels.where("n > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = labels.where("n > 2").join(split, "bucket", "left_semi").select("bucket", "node", "size", "component", F.explode(F.array(length, length + 1)).alias("length"))
+    left = materialize(left.select(F.xxhash64("bucket", "length").alias("bucket"), "node", "size", "component"))
+    split = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    split = split.where("lo <> hi").groupBy("x", "y", "n", "words").agg(F.min("bucket").alias("bucket"))  # equal buckets once
+    left = materialize(left.join(split.select("bucket", "n", "words"), "bucket"))
+    few = left.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "size", "component"))).alias("all"))
+    later = F.transform(F.col("all"), lambda x, i: F.struct(x.alias("a"), F.filter(F.slice("all", i + 2, BUCKET), lambda y: (y["component"] != x["component"]) & near_in_length(x["size"], y["size"])).alias("rest")))
+    pairs = few.select(F.explode(later).alias("p")).select("p.a", F.explode("p.rest").alias("b"))
+    pairs = pairs.select(F.col("a.node").alias("lead"), F.col("a.size").alias("lead_size"), F.col("b.node").alias("node"), F.col("b.size").alias("size"), F.col("a.component").alias("lead_component"), F.col("b.component").alias("component")).distinct()
+    pairs = pairs.join(star.select("lead", "node"), ["lead", "node"], "left_anti")  # led already
     more = led(pairs, texts)
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = left.where(F.col("n") > BUCKET).select("bucket", "node", "component", blocks.alias("of"), F.pmod(F.xxhash64(F.lit(2), "node"), blocks).cast("int").alias("own"))
-    units = many.select("bucket", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("to"))
-    units = units.select("bucket", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "node", F.when(F.col("own") == F.col("to"), 2).when(F.col("own") < F.col("to"), 0).otherwise(1).alias("side"), "component")
-    most = verified(units, ["bucket", "i", "j"], texts)
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / UNIT_WORDS)).cast("int")
+    many = left.where(F.col("n") > BUCKET).select("bucket", "node", "size", "component", blocks.alias("of"), F.pmod(F.xxhash64(F.lit(2), "node"), blocks).cast("int").alias("own"))
+    units = many.select("bucket", "node", "size", "component", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("to"))
+    side = F.when(F.col("own") == F.col("to"), 2).when(F.col("own") < F.col("to"), 0).otherwise(1)
+    most = verified(units.select(F.xxhash64("bucket", F.least("own", "to"), F.greatest("own", "to")).alias("group"), "node", "size", side.alias("side"), "component"), texts)
 
     groups = materialize(connected(links.union(more).union(most)))
-    named = nodes.select("node", "rid").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rid").alias("class_id"))
-    named = materialize(named.join(least, "component").select("node", "class_id"))
-    out = rows.select("doc_id", "rid", "node").join(small_side(named), "node", "left").withColumn("class_id", F.coalesce("class_id", "rid"))
-    return out.select("doc_id", "rid", "class_id", (F.col("rid") == F.col("class_id")).alias("kept"))
+    named = nodes.select("node", "first").join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("first").alias("class"))
+    named = materialize(named.join(least, "component").select("node", "class.*").toDF("node", "class_id", "class_text"))
+    out = rows.select("doc_id", "rid", "h", "node").join(small_side(named), "node", "left")
+    out = out.withColumn("class_id", F.coalesce("class_id", "rid")).withColumn("class_text", F.coalesce("class_text", "h"))
+    return out.select("doc_id", "rid", "h", "class_id", "class_text", ((F.col("rid") == F.col("class_id")) & (F.col("h") == F.col("class_text"))).alias("kept"))
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "class_text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies the row with the smallest doc_id stays."""
-    found = materialize(near_duplicates(docs))
-    gone = materialize(found.where("not kept").select(F.col("rid").alias("__gone")).distinct())
-    rows = docs.withColumn("__rid", row_id("doc_id", "text"))
-    rows = rows.join(small_side(gone), F.col("__rid") == F.col("__gone"), "left_anti")
-    twice = materialize(found.where("kept").groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__twice")))
+    """Pipeline stage: of each class of near copies one row stays, that with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so a text stays whatever other text has its doc_id. Of equal rows (doc_id and
+    text, nulls included) one stays. Texts without words are near copies of nothing; other columns, whatever their names,
+    are carried along; an empty table stays empty.
+    """
+    on = [fresh(docs, "__rid"), fresh(docs, "__h")]
+    found = materialize(near_duplicates(docs).select(F.col("rid").alias(on[0]), F.col("h").alias(on[1]), "kept"))
+    gone = materialize(found.where("not kept").select(*on).distinct())
+    rows = docs.withColumn(on[0], row_id("doc_id", "text")).withColumn(on[1], F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(small_side(gone), on, "left_anti")
+    twice = materialize(found.where("kept").groupBy(*on).count().where("count > 1").select(*on))
     if twice.limit(1).count():  # repeated rows: one of each stays
         twice = small_side(twice)
-        once = rows.join(twice, F.col("__rid") == F.col("__twice"), "left_anti")
-        rows = once.unionByName(rows.join(twice, F.col("__rid") == F.col("__twice"), "left_semi").dropDuplicates(["__rid"]))
+        rows = rows.join(twice, on, "left_anti").unionByName(rows.join(twice, on, "left_semi").dropDuplicates(on))
     return with_columns_of(rows, docs)
