@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of values a side may have at most, by its own count, before it is joined by a shuffle instead of a broadcast.
-BROADCAST_BYTES = 24_000_000
+BROADCAST_BYTES = 8_000_000
 
 
 def ship(name: str) -> None:

@@ -51,7 +51,7 @@ class Words(dict):
     """32-bit hash of a word in lower case without punctuation at its ends; 0 if nothing is left."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         bare = word.lower().strip(string.punctuation)
         self[word] = h = (xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass")) >> 32 | 1) if bare else 0
@@ -71,8 +71,8 @@ def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     w, k = words.astype(np.uint64), min(k, len(words))
     s = np.zeros(len(w) - k + 1, np.uint64)
     for j in range(k):
-        s = mixed(s * _C1 + w[j : len(w) - k + 1 + j])
-    return s
+        s = s * _C1 + w[j : len(w) - k + 1 + j]
+    return mixed(s)
 
 
 def labelled(s: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
@@ -305,7 +305,6 @@ def verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among ``pairs`` (lead, node, lead_size, size, lead_component, component); a leader's members are dealt over several groups."""
-    pairs = materialize(pairs)
     many = pairs.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / UNIT_WORDS)).cast("int").alias("parts"))
     dealt = pairs.join(many, "lead").withColumn("group", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))))
     sides = [F.struct(F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.lit(0).alias("side"), F.col("lead_component").alias("component")), F.struct("node", "size", F.lit(1).alias("side"), "component")]
@@ -335,13 +334,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
     nodes = materialize(nodes.select("node", "first", "size", "sketch"))
     entries = nodes.select(F.explode("sketch").alias("bucket"), "node", "size")
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1")
-    shared = materialize(shared.select("bucket", "n", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")))
+    shared = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"))
     entries = materialize(entries.join(small_side(shared), "bucket"))
     needed = materialize(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("first.*"))
     texts = materialize(word_hashes(docs, needed))
 
-    star = entries.where((F.col("node") != F.col("lead")) & near_in_length("size", "lead_size")).select("lead", "lead_size", "node", "size").distinct()
+    star = entries.where("node <> lead").select("lead", "node", "size").distinct().join(nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")), "lead")
+    star = materialize(star.where(near_in_length("size", "lead_size")))
     links = led(star.withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node")), texts)
     groups = materialize(connected(links))
 
@@ -359,7 +358,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = few.select(F.explode(later).alias("p")).select("p.a", F.explode("p.rest").alias("b"))
     pairs = pairs.select(F.col("a.node").alias("lead"), F.col("a.size").alias("lead_size"), F.col("b.node").alias("node"), F.col("b.size").alias("size"), F.col("a.component").alias("lead_component"), F.col("b.component").alias("component")).distinct()
     pairs = pairs.join(star.select("lead", "node"), ["lead", "node"], "left_anti")  # led already
-    more = led(pairs, texts)
+    more = led(materialize(pairs), texts)
 
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / UNIT_WORDS)).cast("int")
     many = left.where(F.col("n") > BUCKET).select("bucket", "node", "size", "component", blocks.alias("of"), F.pmod(F.xxhash64(F.lit(2), "node"), blocks).cast("int").alias("own"))
