@@ -20,22 +20,23 @@ from larkspur.llm.components import connected
 
 ship(__name__)
 
-#: Words of a k-mer, and the least similarity: 1 - edits / words of the longer text, an edit being a word put in, left out or replaced.
-K, SIMILARITY = 5, 0.8
-#: Sketches, and k-mers that each samples.
-SKETCHES, SAMPLED = 40, 2
-#: Texts of so many words at most also have sketches of shorter k-mers, as a few edits leave them few long ones whole.
-SHORT, SHORT_K, SHORT_SKETCHES = 300, 3, 16
+#: The least similarity: 1 - edits / words of the longer text, an edit being a word put in, left out or replaced.
+SIMILARITY = 0.8
+#: Words of a k-mer, k-mers that a sketch samples, sketches, and words of a text at most that has them. A text edited in
+#: every seventh word has few five-word k-mers whole and a short one few triples in order, hence the second and third kind.
+KINDS = ((5, 3, 24, 2**31), (3, 3, 32, 2**31), (3, 2, 16, 48))
 #: Texts of so many words at most also have exact keys, which no linked pair of them can miss.
 EXACT = 14
 #: Buckets of more documents are compared in blocks; up to it as single pairs.
 BUCKET = 32
-#: Documents compared with one leader in one part at most, documents of a block, and words of a part, a block or a task's unit.
-MEMBERS, BLOCK, UNIT_WORDS = 64, 512, 1_000_000
+#: Documents compared with one leader in one part at most, documents of a block, and words of a part or block, and of a unit that is verified at a time (one group at least).
+MEMBERS, BLOCK, GROUP_WORDS, UNIT_WORDS = 64, 2048, 1_000_000, 250_000
+#: Times that texts are compared with leaders before what is left is compared in full.
+ROUNDS = 2
 #: Words that occur more often in a text are found by one long integer, others by their places.
 OFTEN = 24
 
-_ODD = np.random.default_rng(41).integers(1, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(41).integers(1, 2**63, max(n for _, _, n, _ in KINDS), np.uint64) * np.uint64(2) + np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MOST = np.uint64(2**64 - 1)
 
@@ -64,7 +65,7 @@ def words_of(text: str | None, known: Words) -> np.ndarray:
     return w[w != 0]
 
 
-def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
+def kmers(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-mers in text order; one for the whole text if it is shorter, none without words."""
     if not len(words):
         return np.zeros(0, np.uint64)
@@ -87,10 +88,10 @@ def labelled(s: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
     return mixed(s + nth * _C1)
 
 
-def sketch(s: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """Bucket keys of a text's k-mers: under each of several orders, its SAMPLED least labelled k-mers as they follow in the text."""
+def sketch(s: np.ndarray, sampled: int, sketches: int) -> np.ndarray:
+    """Bucket keys of a text's k-mers: under each of several orders, its ``sampled`` least labelled k-mers as they follow in the text."""
     n, marked = len(s), labelled(s)
-    at, some = np.empty((sketches, min(SAMPLED, n)), np.int64), max(1, 1_000_000 // n)  # a few orders at a time for long texts
+    at, some = np.empty((sketches, min(sampled, n)), np.int64), max(1, 1_000_000 // n)  # a few orders at a time for long texts
     for i in range(0, sketches, some):
         v = marked[None] * _ODD[i : min(i + some, sketches), None]
         for j in range(at.shape[1]):
@@ -125,9 +126,10 @@ def exact_keys(words: np.ndarray) -> np.ndarray:
 
 def keys_of(words: np.ndarray) -> np.ndarray:
     """All bucket keys of a text, each once."""
-    keys = [sketch(kmers(words)), exact_keys(words)]
-    if len(words) <= SHORT:
-        keys.append(mixed(sketch(kmers(words, SHORT_K), SHORT_SKETCHES) + _C2))
+    keys, grams = [exact_keys(words)], {k: kmers(words, k) for k, _, _, _ in KINDS}
+    for i, (k, sampled, sketches, longest) in enumerate(KINDS):
+        if len(words) <= longest:
+            keys.append(mixed(sketch(grams[k], sampled, sketches) + np.uint64(i)))
     return np.unique(np.concatenate(keys))
 
 
@@ -234,6 +236,12 @@ def sum_of_bits(at: list[int]) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def single_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled words of each text, one text after the other, and where each begins (and the last ends)."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    return labelled(np.concatenate(words).astype(np.uint64), np.repeat(np.arange(len(words)), sizes)), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def pairs_of_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Labelled pairs of neighbouring words of each text, one after the other, and where each text begins (and the last ends).
 
@@ -251,17 +259,19 @@ def pairs_of_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_links(part: pd.DataFrame) -> pd.DataFrame:
-    """Links between leaders (side 0) and others (1), 2 being both, of each ``group``, until all that can are joined.
+    """Links between leaders (side 0) and others (2) of each ``group``, 1 being both, until all that can are joined.
 
-    An edit leaves all but two pairs of neighbouring words as they are, so texts that share fewer of them than the edits
-    allowed leave cannot be linked; every other pair of different components is aligned.
+    An edit takes one word away and breaks two pairs of neighbouring words, so texts that have too few of either in common
+    cannot be linked; every other pair of different components is aligned.
     """
     part = part.drop_duplicates(["group", "node", "side"]).sort_values(["group", "side", "node"], kind="stable")
     nodes, side, comp, group = part["node"].tolist(), part["side"].to_numpy(), part["component"].tolist(), part["group"].to_numpy()
     words = [np.asarray(w, np.int32).view(np.uint32) for w in part["words"]]
     size = np.array([len(w) for w in words])
-    shared, start = pairs_of_words(words)
-    vocab, at = np.unique(shared, return_inverse=True)
+    bags = []  # number of each word, or pair, in its text's place, and where each text begins
+    for shared, start in (single_words(words), pairs_of_words(words)):
+        vocab, at = np.unique(shared, return_inverse=True)
+        bags.append((at, start, np.zeros(len(vocab), np.int64)))
     parent = {c: c for c in comp}
 
     def find(c: int) -> int:
@@ -270,28 +280,34 @@ def unit_links(part: pd.DataFrame) -> pd.DataFrame:
             c = parent[c]
         return c
 
-    out, mark = [], np.zeros(len(vocab), np.int64)
+    def common(bag: tuple, i: int, low: int, high: int) -> np.ndarray:
+        at, start, mark = bag
+        mine = at[start[i] : start[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[at[start[low] : start[high]]], start[low:high] - start[low])
+        mark[mine] = 0
+        return both
+
+    out = []
     begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     for low, high in zip(begins, np.append(begins[1:], len(group)), strict=True):
         others = low + int((side[low:high] == 0).sum())  # sides are sorted
-        if others == high:
-            continue
-        theirs, bounds = at[start[others] : start[high]], start[others:high] - start[others]
-        for i in range(low, high):
-            if side[i] == 1:
+        for i in range(low, others + int((side[low:high] == 1).sum())):
+            first = max(others, i + 1)  # two that are both meet once
+            if first == high:
                 continue
-            mine = at[start[i] : start[i + 1]]
-            mark[mine] = 1
-            both = np.add.reduceat(mark[theirs], bounds)
-            mark[mine] = 0
-            longer = np.maximum(size[others:high], size[i])
+            longer, shorter = np.maximum(size[first:high], size[i]), np.minimum(size[first:high], size[i])
             most = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
-            fits = (longer - np.minimum(size[others:high], size[i]) <= most) & (both >= longer - 1 - 2 * most)
+            fits = longer - shorter <= most
+            if fits.any():
+                fits &= common(bags[0], i, first, high) >= longer - most
+            if fits.any():
+                fits &= common(bags[1], i, first, high) >= longer - 1 - 2 * most
             for j in np.flatnonzero(fits):
-                p, q = find(comp[i]), find(comp[others + j])
-                if p != q and aligned(words[i], words[others + j], int(most[j])):
+                p, q = find(comp[i]), find(comp[first + j])
+                if p != q and aligned(words[i], words[first + j], int(most[j])):
                     parent[q] = p
-                    out.append((nodes[i], nodes[others + j]))
+                    out.append((nodes[i], nodes[first + j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -305,17 +321,35 @@ def verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among ``pairs`` (lead, node, lead_size, size, lead_component, component); a leader's members are dealt over several groups."""
-    many = pairs.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / UNIT_WORDS)).cast("int").alias("parts"))
+    many = pairs.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / GROUP_WORDS)).cast("int").alias("parts"))
     dealt = pairs.join(many, "lead").withColumn("group", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    sides = [F.struct(F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.lit(0).alias("side"), F.col("lead_component").alias("component")), F.struct("node", "size", F.lit(1).alias("side"), "component")]
+    sides = [F.struct(F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.lit(0).alias("side"), F.col("lead_component").alias("component")), F.struct("node", "size", F.lit(2).alias("side"), "component")]
     rows = dealt.select("group", F.explode(F.array(*sides)).alias("x")).select("group", "x.*")
     return verified(rows.groupBy("group", "node", "side").agg(F.first("size").alias("size"), F.min("component").alias("component")), texts)
 
 
-def near_in_length(a: str, b: str) -> Column:
+def near_in_length(a: Column, b: Column) -> Column:
     return F.greatest(a, b) - F.least(a, b) <= F.floor((1 - SIMILARITY) * F.greatest(a, b) + 1e-9)
 
 
+def divided(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """bucket, node, size, component of the buckets whose members are of several components, each with their number n,
+    their words, and the least component (lo). Of buckets with equal members there is one."""
+    rows = entries.select("bucket", "node", "size").join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    of = of.where("lo <> hi").groupBy("x", "y", "n", "words", "lo").agg(F.min("bucket").alias("bucket"))
+    return materialize(rows.join(of.drop("x", "y"), "bucket"))
+
+
+def with_leads(rows: DataFrame, leads: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs for ``led``: each of ``rows`` (bucket, node, size, component) with its bucket's lead in ``leads``, if they are of
+    different components and of lengths that can be linked."""
+    named = leads.join(nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")), "lead")
+    named = named.join(small_side(groups.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))), "lead", "left").withColumn("lead_component", F.coalesce("lead_component", "lead"))
+    pairs = rows.join(named, "bucket").where((F.col("component") != F.col("lead_component")) & near_in_length(F.col("size"), F.col("lead_size")))
+    return materialize(pairs.groupBy("lead", "node").agg(*[F.first(c).alias(c) for c in ("lead_size", "size", "lead_component", "component")]))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, rid, h, class_id, class_text, kept of every row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -326,45 +360,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are classes of their own. A doc_id with several texts is several rows; rows without doc_id are numbered by their text;
     equal rows share a class and are all kept or none. Very long texts are sketched and aligned whole. An empty table gives no rows.
 
-    Every bucket's members are first compared with its smallest one, a number of pairs in proportion to the rows. What that
-    does not join is compared in full, texts of lengths that can be linked with each other: pairs of different components in
-    small buckets, blocks against blocks in large ones.
+    Texts are first compared with leaders of their buckets, ROUNDS times, a number of pairs in proportion to the rows: the
+    first time with the least leader alone. What that leaves in several components is compared in full, texts of lengths
+    that can be linked with each other: single pairs in small buckets; in large ones, blocks of the texts outside the
+    bucket's first component against blocks of those in it and against each other.
     """
     rows = materialize(sketched(docs))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
     nodes = materialize(nodes.select("node", "first", "size", "sketch"))
     entries = nodes.select(F.explode("sketch").alias("bucket"), "node", "size")
     shared = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"))
-    entries = materialize(entries.join(small_side(shared), "bucket"))
+    entries = materialize(entries.join(shared, "bucket"))
     needed = materialize(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("first.*"))
     texts = materialize(word_hashes(docs, needed))
 
-    star = entries.where("node <> lead").select("lead", "node", "size").distinct().join(nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")), "lead")
-    star = materialize(star.where(near_in_length("size", "lead_size")))
-    links = led(star.withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node")), texts)
+    star = entries.groupBy("node", "size").agg(F.min("lead").alias("lead")).where("node <> lead").join(nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")), "lead")
+    star = star.where(near_in_length(F.col("size"), F.col("lead_size"))).withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node"))
+    links = led(materialize(star), texts)
     groups = materialize(connected(links))
-
-    labels = entries.join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Texts that can be linked lie in the same class of lengths or in neighbouring ones.
     length = F.floor(F.log("size") / -math.log(SIMILARITY - 1e-6)).cast("int")
-    split = labels.where("n > 2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = labels.where("n > 2").join(split, "bucket", "left_semi").select("bucket", "node", "size", "component", F.explode(F.array(length, length + 1)).alias("length"))
-    left = materialize(left.select(F.xxhash64("bucket", "length").alias("bucket"), "node", "size", "component"))
-    split = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    split = split.where("lo <> hi").groupBy("x", "y", "n", "words").agg(F.min("bucket").alias("bucket"))  # equal buckets once
-    left = materialize(left.join(split.select("bucket", "n", "words"), "bucket"))
+    left = entries.where("n > 2").select("bucket", "node", "size", F.explode(F.array(length, length + 1)).alias("length")).select(F.xxhash64("bucket", "length").alias("bucket"), "node", "size")
+    left = divided(left.union(entries.where("n = 2").select("bucket", "node", "size")), groups)
+    for k in range(1, ROUNDS):
+        leads = left.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(k), "node")).alias("lead"))
+        links = materialize(links.union(led(with_leads(left, leads, nodes, groups), texts)))
+        groups = materialize(connected(links))
+        left = divided(left, groups)
+
     few = left.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "size", "component"))).alias("all"))
     later = F.transform(F.col("all"), lambda x, i: F.struct(x.alias("a"), F.filter(F.slice("all", i + 2, BUCKET), lambda y: (y["component"] != x["component"]) & near_in_length(x["size"], y["size"])).alias("rest")))
     pairs = few.select(F.explode(later).alias("p")).select("p.a", F.explode("p.rest").alias("b"))
     pairs = pairs.select(F.col("a.node").alias("lead"), F.col("a.size").alias("lead_size"), F.col("b.node").alias("node"), F.col("b.size").alias("size"), F.col("a.component").alias("lead_component"), F.col("b.component").alias("component")).distinct()
-    pairs = pairs.join(star.select("lead", "node"), ["lead", "node"], "left_anti")  # led already
     more = led(materialize(pairs), texts)
 
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / UNIT_WORDS)).cast("int")
-    many = left.where(F.col("n") > BUCKET).select("bucket", "node", "size", "component", blocks.alias("of"), F.pmod(F.xxhash64(F.lit(2), "node"), blocks).cast("int").alias("own"))
-    units = many.select("bucket", "node", "size", "component", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("to"))
-    side = F.when(F.col("own") == F.col("to"), 2).when(F.col("own") < F.col("to"), 0).otherwise(1)
-    most = verified(units.select(F.xxhash64("bucket", F.least("own", "to"), F.greatest("own", "to")).alias("group"), "node", "size", side.alias("side"), "component"), texts)
+    # Blocks i of the texts outside the bucket's first component meet blocks j of those in it, and each other.
+    stray = F.col("component") != F.col("lo")
+    many = left.where(F.col("n") > BUCKET)
+    outside = [F.sum(F.when(stray, x).otherwise(0)) for x in (F.lit(1), F.col("size"))]
+    blocks = many.groupBy("bucket").agg(F.ceil(F.greatest(outside[0] / BLOCK, outside[1] / GROUP_WORDS)).cast("int").alias("is"), F.ceil(F.greatest((F.max("n") - outside[0]) / BLOCK, (F.max("words") - outside[1]) / GROUP_WORDS)).cast("int").alias("js"))
+    many = materialize(many.select("bucket", "node", "size", "component", stray.alias("stray")).join(blocks, "bucket"))
+    own = lambda of: F.pmod(F.xxhash64(F.lit(2), "node"), F.col(of))
+    inside = many.where("not stray").select("bucket", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), own("js").alias("j"), "node", "size", F.lit(2).alias("side"), "component")
+    out = many.where("stray").withColumn("own", own("is")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("js") + F.col("is") - 1))).withColumn("other", F.col("to") - F.col("js"))
+    against = out.where("other < 0").select("bucket", F.col("own").alias("i"), F.col("to").alias("j"), "node", "size", F.when(F.col("to") == 0, 1).otherwise(0).alias("side"), "component")
+    among = out.where("other >= 0 and other <> own").select("bucket", F.least("own", "other").alias("i"), (-1 - F.greatest("own", "other")).alias("j"), "node", "size", F.when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"), "component")
+    units = inside.union(against).union(among).select(F.xxhash64("bucket", "i", "j").alias("group"), "node", "size", "side", "component")
+    most = verified(units, texts)
 
     groups = materialize(connected(links.union(more).union(most)))
     named = nodes.select("node", "first").join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))

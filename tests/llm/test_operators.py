@@ -282,7 +282,7 @@ def test_near_duplicates(spark, sf, duck):
 @pytest.mark.parametrize("bucket,members,block", [(32, 64, 512), (2, 4, 8)])
 def test_near_family(spark, monkeypatch, bucket, members, block):
     """A family whose links are sparse, by small pairs, large blocks and dealt leaders."""
-    for k, v in (("BUCKET", bucket), ("MEMBERS", members), ("BLOCK", block), ("UNIT_WORDS", 1_000_000 if bucket > 2 else 3000)):
+    for k, v in (("BUCKET", bucket), ("MEMBERS", members), ("BLOCK", block), ("GROUP_WORDS", 1_000_000 if bucket > 2 else 3000)):
         monkeypatch.setattr(order_minhash, k, v)
     rng = np.random.default_rng(2)
     base, docs = [f"w{i}" for i in rng.integers(0, 900, 120)], []
@@ -297,10 +297,10 @@ def test_near_family(spark, monkeypatch, bucket, members, block):
 
 
 def test_sketch_of_long_texts():
-    s = order_minhash.kmers(np.random.default_rng(1).integers(1, 10**6, 50_003).astype(np.uint32))
-    by_row = order_minhash.sketch(s)
-    assert len(set(by_row.tolist())) == order_minhash.SKETCHES
-    assert (order_minhash.sketch(s[:49_000]) == by_row).sum() >= 34
+    s = order_minhash.kmers(np.random.default_rng(1).integers(1, 10**6, 50_003).astype(np.uint32), 5)
+    by_row = order_minhash.sketch(s, 3, 24)
+    assert len(set(by_row.tolist())) == 24
+    assert (order_minhash.sketch(s[:49_000], 3, 24) == by_row).sum() >= 18
 
 
 def distance(a, b):
@@ -335,7 +335,7 @@ def edited(words, share, rng):
 def test_near_recall_by_edits(spark):
     """Pairs by edit distance alone: at least nine of ten are found at each share of edits and each length."""
     rng, docs, planted = np.random.default_rng(9), [], []
-    for n in (30, 120, 800):
+    for n in (16, 30, 120, 800):
         for share in (0.01, 0.03, 0.05, 0.1, 0.15):
             for _ in range(60):
                 w = [f"w{x}" for x in rng.zipf(1.2, n) % 50_000]
