@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialize, ship, small_side, table
@@ -14,36 +16,58 @@ from larkspur.llm.common import materialize, ship, small_side, table
 ship(__name__)
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Groups with fewer documents take the thresholds of their language, and languages those of the corpus.
-LEAST_DOCS = 50
-#: Interquartile ranges that a value may lie outside the quartiles.
-FENCE = 3
-#: Metrics in thousandths, and the least width an interquartile range counts as.
-METRICS = {"mean_word": 1000, "symbol_rate": 100, "dup_line_rate": 200, "repeat_rate": 100}
+#: The outer deciles and the median are what a fence is made of: it lies FENCE times their distance beyond a decile.
+LOW, MIDDLE, HIGH, FENCE = 1, 5, 9, 4
+#: A group's quantiles are drawn to those of its language, and a language's to those of the corpus, with the weight of so many documents.
+SHRINK = 50
+#: Metrics in thousandths. A rate of counted events is held against its fence by what it is at least if its count was as
+#: much too high by chance as NOISE standard deviations allow: few events in a short text say little.
+METRICS = ("mean_word", "symbol_rate", "dup_line_rate", "repeat_rate")
+NOISE = 2.0
+#: Count, base, and counts that one event makes, of each metric that is a rate.
+EVENTS = {"symbol_rate": ("n_symbols", "n_words", 1), "dup_line_rate": ("n_dup_lines", "n_lines", 1), "repeat_rate": ("n_repeat_words", "n_words", 6)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+#: Bytes of a text that are split at a time.
+CHUNK = 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def word_numbers(text: str) -> np.ndarray:
+    """The words of a text as numbers of the distinct ones; the words themselves are only held once each."""
+    raw, known, parts, at = text.encode("utf-8", "surrogatepass"), {}, [np.zeros(0, np.int64)], 0
+    while at < len(raw):
+        end = _BLANK.search(raw, at + CHUNK)
+        end = end.start() if end else len(raw)
+        some = raw[at:end].split()
+        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in some), np.int64, len(some)))
+        at = end
+    return np.concatenate(parts)
 
 
 def measure(text: str | None) -> tuple[int, ...]:
     """The values of COUNTS; n_lines counts lines with a word."""
     if not text:
         return (0,) * len(COUNTS)
-    words = text.encode("utf-8", "surrogatepass").split()
-    seen: set[str] = set()
+    words = word_numbers(text)
+    seen: set[int] = set()
     full = dup = 0
     for line in text.split("\n"):
         if line.strip(BLANKS):
             full += 1
-            dup += line in seen
-            seen.add(line)
-    repeated = 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) < len(windows):
-        n, upto = Counter(windows), 0
-        for i, w in enumerate(windows):
-            if n[w] > 1:
-                repeated += i + 3 - max(i, upto)
-                upto = i + 3
-    return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), dup, repeated, full
+            h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass")) if len(line) > 32 else line
+            dup += h in seen
+            seen.add(h)
+    repeated, n = 0, len(words)
+    if n > 2:
+        many = int(words.max()) + 1
+        pair = np.unique(words[:-2] * many + words[1:-1], return_inverse=True)[1]
+        _, which, times = np.unique(pair * many + words[2:], return_inverse=True, return_counts=True)
+        again = np.flatnonzero(times[which] > 1)
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, again, 1)
+        np.add.at(step, again + 3, -1)
+        repeated = int((np.cumsum(step) > 0).sum())
+    return n, len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), dup, repeated, full
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -77,41 +101,55 @@ def sketch(rows: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "metric", (F.col("v") - F.col("v") % unit).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(merged: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each group: docs, and lo_M and hi_M of each metric M."""
+def quantiles(merged: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group: docs, and lo_M, mid_M and hi_M, two deciles and the median, of each metric M."""
     merged = merged.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*by, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     merged = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "metric")))
-    q = merged.groupBy(*by, "metric").agg(F.max("all").alias("docs"), F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"))
-    bounds = []
-    for m, least in METRICS.items():
-        wide = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        bounds += [F.max(F.when(F.col("metric") == m, F.col("q1") - wide)).alias(f"lo_{m}"), F.max(F.when(F.col("metric") == m, F.col("q3") + wide)).alias(f"hi_{m}")]
-    return q.groupBy(*by).agg(F.max("docs").alias("docs"), *bounds)
+    at = [F.min(F.when(10 * F.col("upto") >= q * F.col("all"), F.col("bucket"))).alias(n) for q, n in ((LOW, "lo"), (MIDDLE, "mid"), (HIGH, "hi"))]
+    q = merged.groupBy(*by, "metric").agg(F.max("all").alias("docs"), *at)
+    return q.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col(x))).alias(f"{x}_{m}") for m in METRICS for x in ("lo", "mid", "hi")])
+
+
+def shrunk(own: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
+    """The quantiles of ``own`` drawn to those of the ``wider`` groups that hold them."""
+    w = wider.select(*[F.col(c).alias(f"__{c}") for c in wider.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = own.join(small_side(w), cond)
+    names = [c for c in own.columns if c[:3] in ("lo_", "mid", "hi_")]
+    return materialize(rows.select(*[F.expr(f"(docs * {c} + {SHRINK} * __{c}) div (docs + {SHRINK})").alias(c) if c in names else F.col(c) for c in own.columns]))
+
+
+def at_least(metric: str) -> Column:
+    """A rate, in thousandths, less the noise of its count."""
+    count, base, unit = EVENTS[metric]
+    root = F.greatest(F.sqrt(F.col(count) / F.lit(float(unit))) - NOISE, F.lit(0.0))
+    return F.floor(root * root * float(1000 * unit) / F.greatest(base, F.lit(1))).cast("long")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """COUNTS, metrics, base_failed and kept of every row of ``docs``, whatever its other columns.
 
-    Rows that pass the base rules are sketched by (lang, source); a row is kept if each metric lies within FENCE
-    interquartile ranges of its group's quartiles, a range counting as the fixed least width in METRICS at least: where the
-    real one is narrower, as for every metric of sf0.1, the width of the fence is that constant. Null languages and sources
-    are groups of their own; null and empty texts have no words and fail the base; repeated rows count each; an empty table
-    gives no rows.
+    Rows that pass the base rules are sketched by (lang, source). A group's fence for a metric lies FENCE times the distance
+    of an outer decile from the median beyond that decile, both taken from the group's sketch, drawn to its language's and
+    through that to the corpus' the more the fewer documents it has. A row is kept if its mean word length lies
+    within its fences and no rate, less the noise of its count, beyond its upper one. Where nine of ten documents of a group
+    have none of something, only documents with more of it than noise are out. Null languages and sources are groups of
+    their own; null and empty texts have no words and fail the base; ties and repeated rows count each; a very long text is
+    read whole, held as one number a word; an empty table gives no rows.
     """
     rows = materialize(with_metrics(measured(docs)))
     fine = materialize(sketch(rows.where(~F.col("base_failed"))))
-    for k, by in enumerate((["lang", "source"], ["lang"])):
-        q = quartiles(fine, by)
-        q = materialize(q.select(*[F.col(c).alias(f"__{k}_{c}") for c in q.columns]))
-        on = [F.col(c).eqNullSafe(F.col(f"__{k}_{c}")) for c in by]
-        rows = rows.join(small_side(q, 50_000), on[0] if len(on) == 1 else on[0] & on[1], "left")
-    corpus = quartiles(fine, []).first()
-    held = F.lit(True)
+    by = ["lang", "source"]
+    lang = shrunk(materialize(quantiles(fine, by[:1])), materialize(quantiles(fine, [])), [])
+    q = shrunk(materialize(quantiles(fine, by)), lang, by[:1])
+    q = materialize(q.select(*[F.col(c).alias(f"__{c}") for c in q.columns]))
+    rows = rows.join(small_side(q), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    held = F.col("mean_word") >= F.col("__lo_mean_word") - FENCE * (F.col("__mid_mean_word") - F.col("__lo_mean_word"))
     for m in METRICS:
-        for side in ("lo", "hi"):
-            bound = F.coalesce(*[F.when(F.col(f"__{k}_docs") >= LEAST_DOCS, F.col(f"__{k}_{side}_{m}")) for k in (0, 1)], F.lit(corpus[f"{side}_{m}"] if corpus else None))
-            held &= F.col(m) >= bound if side == "lo" else F.col(m) <= bound
+        held &= (at_least(m) if m in EVENTS else F.col(m)) <= F.col(f"__hi_{m}") + FENCE * (F.col(f"__hi_{m}") - F.col(f"__mid_{m}"))
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(held, F.lit(True))).select("doc_id", "lang", "source", *COUNTS, *METRICS, "base_failed", "kept")
 
 
@@ -121,17 +159,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     long = " union all ".join(f"select lang, source, '{m}' as metric, {m} as v from m where not base_failed" for m in METRICS)
-    tables, joins = "", ""
-    for k, by in enumerate((["lang", "source"], ["lang"], [])):
+    tables, each = "", [f"{x}_{m}" for m in METRICS for x in ("lo", "mid", "hi")]
+    for k, by in enumerate(([], ["lang"], ["lang", "source"])):
         pre = "".join(f"{c}, " for c in by)
         part = f"partition by {pre}metric"
+        at = ", ".join(f"min(bucket) filter (where 10 * upto >= {q} * al) as {n}" for q, n in ((LOW, "lo"), (MIDDLE, "mid"), (HIGH, "hi")))
+        own = ", ".join(f"max(case when metric = '{m}' then {x} end) as {x}_{m}" for m in METRICS for x in ("lo", "mid", "hi"))
         tables += f""", m{k} as (select {pre}metric, bucket, sum(n) as n from s group by {pre}metric, bucket),
 u{k} as (select *, sum(n) over ({part} order by bucket rows unbounded preceding) as upto, sum(n) over ({part}) as al from m{k}),
-q{k} as (select {pre}metric, max(al) as docs, min(bucket) filter (where 4 * upto >= al) as q1, min(bucket) filter (where 4 * upto >= 3 * al) as q3 from u{k} group by {pre}metric),
-t{k} as (select {pre}max(docs) as docs, {", ".join(f"max(case when metric = '{m}' then q1 - {FENCE} * greatest(q3 - q1, {w}) end) as lo_{m}, max(case when metric = '{m}' then q3 + {FENCE} * greatest(q3 - q1, {w}) end) as hi_{m}" for m, w in METRICS.items())} from q{k} {"group by " + pre[:-2] if by else ""})"""
-        joins += f" left join t{k} on " + (" and ".join(f"m.{c} is not distinct from t{k}.{c}" for c in by) or "true")
-    bound = lambda x: "coalesce(" + "".join(f"case when t{k}.docs >= {LEAST_DOCS} then t{k}.{x} end, " for k in (0, 1)) + f"t2.{x})"
-    held = " and ".join(f"m.{m} >= {bound('lo_' + m)} and m.{m} <= {bound('hi_' + m)}" for m in METRICS)
+q{k} as (select {pre}metric, max(al) as docs, {at} from u{k} group by {pre}metric),
+t{k} as (select {pre}max(docs) as docs, {own} from q{k} {"group by " + pre[:-2] if by else ""})"""
+        wider = "t0" if k == 1 else f"f{k - 1}"
+        on = " and ".join(f"t{k}.{c} is not distinct from {wider}.{c}" for c in by[:-1]) or "true"
+        if k:
+            tables += f""", f{k} as (select {"".join(f"t{k}.{c}, " for c in by)}t{k}.docs, {", ".join(f"(t{k}.docs * t{k}.{c} + {SHRINK} * {wider}.{c}) // (t{k}.docs + {SHRINK}) as {c}" for c in each)} from t{k} join {wider} on {on})"""
+    joins = " left join f2 on m.lang is not distinct from f2.lang and m.source is not distinct from f2.source"
+
+    def least(m: str) -> str:
+        if m not in EVENTS:
+            return f"m.{m}"
+        count, base, unit = EVENTS[m]
+        root = f"greatest(sqrt({count} / {unit}.0::double) - {NOISE}::double, 0.0::double)"
+        return f"floor({root} * {root} * {1000 * unit}.0::double / greatest({base}, 1))"
+
+    held = f"m.mean_word >= lo_mean_word - {FENCE} * (mid_mean_word - lo_mean_word) and " + " and ".join(f"{least(m)} <= hi_{m} + {FENCE} * (hi_{m} - mid_{m})" for m in METRICS)
     return rf"""
 with d as (select row_number() over () as r, *, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
 w as (select r, unnest(range(1, len(words) - 1)) as i, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) as g from d),

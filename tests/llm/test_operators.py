@@ -67,6 +67,47 @@ def test_sketches_merge(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, merged))
 
 
+def test_rules_measure_in_pieces(monkeypatch):
+    """Counts are those of a plain reckoning, however the text is split."""
+    rng = np.random.default_rng(2)
+    for k in range(40):
+        words = [f"é{x}" for x in rng.integers(0, 12, rng.integers(0, 60))]
+        text = "".join(w + " \t\n\x0b\r"[rng.integers(0, 5)] for w in words)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        covered = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        monkeypatch.setattr(quality_rules, "CHUNK", (1, 7, 1 << 20)[k % 3])
+        got = quality_rules.measure(text)
+        assert (got[0], got[4]) == (len(words), len(covered))
+
+
+def test_rules_follow_the_source(spark, monkeypatch):
+    """For each metric a document goes from a source where it stands out and stays in one that is wider, at any size of group."""
+    rng = np.random.default_rng(5)
+    metrics = [("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("word_chars", "n_words")]
+    for count, base in metrics:
+        some = []
+        for source, wide in (("even", 0.02), ("uneven", 0.3)):
+            for i in range(300):
+                row = {"doc_id": i, "lang": "en", "source": source, "n_words": 2000, "word_chars": 10_000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1000}
+                row[count] = int(row[base] * (rng.random() * wide + (5 if count == "word_chars" else 0)))
+                some.append(row)
+            some.append(row | {"doc_id": 1000, count: int(row[base] * (5.4 if count == "word_chars" else 0.4))})
+        rows = spark.createDataFrame([tuple(r[c] for c in ("doc_id", "lang", "source", *quality_rules.COUNTS)) for r in some], "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+        monkeypatch.setattr(quality_rules, "measured", lambda docs: docs)
+        got = quality_rules.judged(rows).where("not base_failed").collect()
+        kept = {r["source"]: r["kept"] for r in got if r["doc_id"] == 1000}
+        assert kept == {"even": False, "uneven": True}, count
+        assert sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 598
+
+
+def test_rules_keep_clean(spark, duck):
+    sf = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in llm.queries()["op1_quality_rules"](spark, sf).collect()}
+    labels = duck.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall()
+    good, bad = ([got[i]["kept"] for i, q in labels if q == k and not got[i]["base_failed"]] for k in (1, 0))
+    assert sum(good) >= 0.998 * len(good) and sum(bad) <= 0.1 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+
+
 # 2 Kneser-Ney
 
 
