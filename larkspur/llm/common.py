@@ -7,7 +7,7 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """doc_id; a row without one gets a number of its text, larger than ids in use, so that such rows are not one key."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(text).cast("string")), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def with_columns_of(df: DataFrame, docs: DataFrame) -> DataFrame:
     """Only the columns that ``docs`` has, in its order."""
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])

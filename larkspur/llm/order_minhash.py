@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fresh, materialize, ship, small_side, table, with_columns_of
+from larkspur.llm.common import fresh, materialize, row_id, ship, small_side, table, with_columns_of
 from larkspur.llm.components import connected
 
 ship(__name__)
@@ -133,15 +133,10 @@ def keys_of(words: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def row_id(doc_id: str, text: str) -> Column:
-    """doc_id; a row without one gets a number of its text, larger than ids in use."""
-    return F.coalesce(F.col(doc_id), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, rid, h, text: a row is known by rid and h, the hash of its text, as several texts may have one doc_id."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", row_id("doc_id", "text").alias("rid"), F.xxhash64("text").alias("h"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", row_id().alias("rid"), F.xxhash64("text").alias("h"), "text")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -431,7 +426,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     on = [fresh(docs, "__rid"), fresh(docs, "__h")]
     found = materialize(near_duplicates(docs).select(F.col("rid").alias(on[0]), F.col("h").alias(on[1]), "kept"))
     gone = materialize(found.where("not kept").select(*on).distinct())
-    rows = docs.withColumn(on[0], row_id("doc_id", "text")).withColumn(on[1], F.xxhash64(F.col("text").cast("string")))
+    rows = docs.withColumn(on[0], row_id()).withColumn(on[1], F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(small_side(gone), on, "left_anti")
     twice = materialize(found.where("kept").groupBy(*on).count().where("count > 1").select(*on))
     if twice.limit(1).count():  # repeated rows: one of each stays
