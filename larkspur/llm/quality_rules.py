@@ -112,12 +112,13 @@ def quantiles(merged: DataFrame, by: list[str]) -> DataFrame:
 
 
 def shrunk(own: DataFrame, wider: DataFrame, on: list[str]) -> DataFrame:
-    """The quantiles of ``own`` drawn to those of the ``wider`` groups that hold them."""
-    w = wider.select(*[F.col(c).alias(f"__{c}") for c in wider.columns])
-    cond = F.lit(True)
-    for c in on:
-        cond &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-    rows = own.join(small_side(w), cond)
+    """The quantiles of ``own`` drawn to those of the ``wider`` groups that hold them; without ``on``, of the one there is."""
+    if on:
+        w = wider.select(*[F.col(c).alias(f"__{c}") for c in wider.columns])
+        rows = own.join(small_side(w), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    else:
+        one = wider.first() or {c: None for c in wider.columns}
+        rows = own.withColumns({f"__{c}": F.lit(one[c]).cast("long") for c in wider.columns})
     names = [c for c in own.columns if c[:3] in ("lo_", "mid", "hi_")]
     return materialize(rows.select(*[F.expr(f"(docs * {c} + {SHRINK} * __{c}) div (docs + {SHRINK})").alias(c) if c in names else F.col(c) for c in own.columns]))
 
