@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize, small_side, table, with_columns_of
+from larkspur.llm.common import BROADCAST_BYTES, byte_count, fresh, materialize, table, with_columns_of
 
 MIN_DOCS = 10
 #: Streams that the occurrences of one key are dealt over, by document; a key held by any share of the rows is never one task's.
@@ -60,12 +60,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
 
     A key found in ``min_docs`` documents or more loses all its lines, or all but the first in the order of document and
     position (``keep_first``). A document is a doc_id with its text: equal rows count once and get one bitmap; null ids
-    are told apart by text.
+    are told apart by text; null and empty texts have one empty line, which has no key. Very long texts are split like
+    others, a line being the unit of all that follows. An empty table gives no rows. Only doc_id and text are read.
     """
     found = materialize(occurrences(docs))  # hashes and places only; texts are split once
-    common = materialize(common_lines(found, min_docs))
-    side = small_side(common.select("h1", "h2", *(["first"] if keep_first else [])))
-    hits = found.drop("salt").join(side, ["h1", "h2"], "inner" if keep_first else "left_semi")
+    common = materialize(common_lines(found, min_docs).select("h1", "h2", *(["first"] if keep_first else [])))
+    how = "inner" if keep_first else "left_semi"
+    if byte_count(common) <= BROADCAST_BYTES:
+        hits = found.join(F.broadcast(common), ["h1", "h2"], how)
+    else:  # each key in every stream, so that the commonest line's occurrences stay dealt out
+        hits = found.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("short"), F.lit(SALTS - 1).cast("short"), F.lit(1).cast("short")))), ["h1", "h2", "salt"], how)
     if keep_first:
         hits = hits.where(~F.struct("doc_id", "doc_hash", "pos").eqNullSafe(F.col("first"))).drop("first")
     dropped = hits.groupBy("doc_id", "doc_hash").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("dropped"))
@@ -73,14 +77,19 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with its text reduced to the lines kept, plus __n_lines, __n_dropped. Documents without a bitmap stay as they are."""
-    ids = bitmaps.select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash"), F.col("keep_runs").alias("__runs"))
-    rows = docs.withColumn("__h", F.xxhash64("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
-    rows = rows.withColumn("__lines", lines_of(F.col("text"))).withColumn("__n_lines", F.size("__lines").cast("long"))
-    keep = F.flatten(F.transform("__runs", lambda n, i: F.array_repeat(i % 2 == 0, n)))
-    rows = rows.withColumn("__left", F.when(F.col("__runs").isNotNull(), F.transform(F.filter(F.arrays_zip(F.col("__lines").alias("line"), keep.alias("keep")), lambda x: x["keep"]), lambda x: x["line"])))
-    rows = rows.withColumn("__n_dropped", F.when(F.col("__runs").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__left")).cast("long"))
-    return rows.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "__left")))
+    """``docs`` with its text reduced to the lines kept, plus __n_lines and __n_dropped (with underscores added if ``docs`` has
+    such a column). Documents without a bitmap, null texts among them, stay as they are; equal rows lose the same lines;
+    columns of any names are carried along; an empty table stays empty."""
+    own, other, runs, lines, left, n_lines, n_dropped = (fresh(docs, x) for x in ("__h", "__hash", "__runs", "__lines", "__left", "__n_lines", "__n_dropped"))
+    of = fresh(docs, "__id")
+    ids = bitmaps.select(F.col("doc_id").alias(of), F.col("doc_hash").alias(other), F.col("keep_runs").alias(runs))
+    rows = docs.withColumn(own, F.xxhash64("text")).join(ids, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(other)), "left")
+    rows = rows.withColumn(lines, lines_of(F.col("text"))).withColumn(n_lines, F.size(lines).cast("long"))
+    keep = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    rows = rows.withColumn(left, F.when(F.col(runs).isNotNull(), F.transform(F.filter(F.arrays_zip(F.col(lines).alias("line"), keep.alias("keep")), lambda x: x["keep"]), lambda x: x["line"])))
+    rows = rows.withColumn(n_dropped, F.when(F.col(runs).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long"))
+    rows = rows.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.concat_ws("\n", left)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], n_lines, n_dropped)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +99,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: lines that ten documents or more share are dropped; every document stays, n_chars follows its text."""
+    """Pipeline stage: lines that ten documents or more share are dropped; every document stays, n_chars follows its text.
+
+    Null and empty texts stay as they are; rows that are equal in doc_id and text are one document and lose the same lines;
+    other columns, whatever their names, are carried along; an empty table stays empty.
+    """
     kept = apply_bitmaps(docs, keep_bitmaps(docs))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col(fresh(docs, "__n_dropped")) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return with_columns_of(kept, docs)
 
 
