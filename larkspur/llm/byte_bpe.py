@@ -31,8 +31,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SLOTS = 65_536
 #: Distinct words a task remembers; beyond that it begins anew.
 REMEMBERED = 400_000
-#: Words of more bytes are merged with a heap.
-LONG = 48
+#: Words of more bytes are merged with a heap in Python: a fold over arrays copies them at each merge, so its time grows with the square.
+LONG = 256
 NONE = 2**31 - 1
 #: Bytes of text in a block, at least one document whatever its length; words whose ids are joined at a time; level of compression.
 BLOCK_BYTES, CHUNK, ZSTD = 64_000_000, 200_000, 9
@@ -136,7 +136,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ful
     rows give equal rows; texts of any length are encoded whole; an empty table gives no rows. The vocabulary is sent
     to each task, its size is that of its file.
     """
-    if set(ranks) < {bytes([i]) for i in range(256)}:
+    if not {bytes([i]) for i in range(256)} <= set(ranks):
         raise ValueError("the vocabulary lacks single bytes")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
 
@@ -312,7 +312,7 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
     gives no rows. Words of more than LONG bytes, for which a fold over arrays is quadratic, are merged with a heap when
     their block is put together. Shuffled are the blocks, once, and each block's distinct words and their ids.
     """
-    if set(ranks) < {bytes([i]) for i in range(256)}:
+    if not {bytes([i]) for i in range(256)} <= set(ranks):
         raise ValueError("the vocabulary lacks single bytes")
     blocks = blocks_of(docs, pattern)
     width = (max(ranks.values()).bit_length() + 7) // 8
@@ -337,6 +337,8 @@ def fold_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, full:
                     for byte in np.frombuffer(b"".join(ids.to_pylist()), np.uint8).reshape(-1, width).T:
                         flat = (flat << 8 | byte) if len(flat) else byte.astype(np.uint32)
                 rest = np.flatnonzero(sizes < 0)
+                if (pc.binary_length(words).to_numpy()[rest] <= LONG).any():
+                    raise ValueError("a word of a block has no ids")
                 more = [fold_word(w, ranks) for w in words.take(pa.array(rest)).to_pylist()]
                 sizes[rest] = list(map(len, more))
                 starts[rest] = len(flat) + np.cumsum(sizes[rest]) - sizes[rest]
@@ -386,5 +388,6 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: what op7 returns, of the documents that are left."""
+    """Last pipeline stage: what op7 returns, of the documents that are left: a row for each, repeated rows included; null
+    and empty texts have no ids; other columns are not read; an empty table gives no rows."""
     return fold_documents(docs, *default_vocabulary())
