@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import ship, table
@@ -19,8 +19,9 @@ HIDDEN = 8
 SEGMENT = 96
 #: Segments labelled at a time.
 AT_ONCE = 1536
-#: The fit: documents of a language on average at most, and bytes of each (a window at a hashed place).
-TRAIN_DOCS, TRAIN_BYTES = 400, 480
+#: The fit: distinct texts of a language at most, bytes of each (a window at a hashed place), and languages at most, the
+#: most frequent ones; others are not learned. So the driver gets TRAIN_DOCS * TRAIN_BYTES * TRAIN_LANGS bytes at most.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LANGS = 400, 480, 200
 STEPS, BATCH, RATE, SEED = 700, 192, 0.02, 7
 
 
@@ -159,17 +160,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, docs_of_each: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> list[tuple[bytes, str]]:
-    """A bounded hash sample of rows that are not held out and have a language: about ``docs_of_each`` for each language."""
-    rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def training_sample(docs: DataFrame, docs_of_each: int = TRAIN_DOCS, size: int = TRAIN_BYTES, langs: int = TRAIN_LANGS) -> list[tuple[bytes, str]]:
+    """A bounded hash sample of rows that are not held out and have a language: ``docs_of_each`` distinct texts of each of the
+    ``langs`` most frequent languages at most."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not counts:
         return []
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, docs_of_each / n)))])
-    pick = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 24)) < F.element_at(rate, F.col("lang")) * (1 << 24)
-    at = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.greatest(F.lit(1), F.length("text") - size // 2)).cast("int") + 1
-    cut = rows.where(pick).select("doc_id", "lang", F.substring(F.col("text"), at, F.lit(size)).alias("cut"))
-    return [(r["cut"].encode("utf-8", "surrogatepass")[:size], r["lang"]) for r in sorted(cut.collect(), key=lambda r: (r["doc_id"], r["lang"], r["cut"]))]
+    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * docs_of_each / n)))])
+    h = F.xxhash64(F.lit(23), "text")
+    at = F.pmod(F.xxhash64(F.lit(29), "text"), F.greatest(F.lit(1), F.length("text") - size // 2)).cast("int") + 1
+    # Copies of a text are one before they are dealt out; what is numbered is a few times the sample, on average.
+    some = rows.where(F.pmod(h, F.lit(1 << 24)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 24)).select("lang", h.alias("h"), F.substring(F.col("text"), at, F.lit(size)).alias("cut"))
+    some = some.groupBy("lang", "h").agg(F.first("cut").alias("cut"))
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 24)), "h"))).where(F.col("k") <= docs_of_each)
+    return [(r["cut"].encode("utf-8", "surrogatepass")[:size], r["lang"]) for r in sorted(first.collect(), key=lambda r: (r["lang"], r["k"]))]
 
 
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
@@ -177,7 +182,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     Unless ``net`` is given it is fitted here, on rows that are not held out. Null texts and those without a letter are
     ``und`` with score 0, as is everything if no row can be learned from. A null doc_id is not held out and not learned
-    from. Repeated rows get equal results; texts are read whole at any length; an empty table gives no rows.
+    from; of the distinct languages the TRAIN_LANGS most frequent are learned. Repeated rows get equal results; texts are read whole at any length; an empty table gives no rows.
     """
     net = net or train(training_sample(docs))
 
