@@ -37,9 +37,10 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, n, v: one row for each distinct direct value of a usable vector; vec_id, rep: every row)."""
-    v = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if kind == "float" else F.col("embedding").cast("array<double>")  # floats are kept as floats, which is exact
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.transform(v, lambda x: F.when(x == 0, 0.0).otherwise(x))).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.transform(v, lambda x: F.when(x == 0, F.lit(0.0).cast("float" if kind == "float" else "double")).otherwise(x))).alias("v"))
     some = rows.where(F.col("v").isNotNull())
     key = [F.xxhash64("v"), F.xxhash64(F.lit(5), "v")]
     reps = some.select(*[k.alias(f"k{i}") for i, k in enumerate(key)], "vec_id", "v").groupBy("k0", "k1").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
@@ -49,34 +50,78 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def dealt(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """cell, home, rep, n, v: each vector in the cell of its nearest pivot (home), and in every cell within reach.
+def reached(x: np.ndarray, pivots: np.ndarray, gap: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of the nearest pivot of each unit vector, and whether each cell is within its reach.
 
     If x lies in the cell of p and y within ``radius`` of x, then d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2 r for
     y's own pivot q; as these are points of a Euclidean space, y also lies within r of the plane between p and q.
     """
-    gap = np.sqrt(np.maximum(0, ((pivots[:, None] - pivots[None]) ** 2).sum(2)))
+    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T))
+    own = d.argmin(1)
+    near = d[np.arange(len(x)), own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d * d - (near * near)[:, None]) / (2 * gap[own])
+    inside = (d <= near[:, None] + 2 * radius + SLACK) & ~(plane > radius + SLACK)
+    inside[np.arange(len(x)), own] = True
+    return own, inside
+
+
+def gaps(pivots: np.ndarray) -> np.ndarray:
+    """Distances between pivots."""
+    square = (pivots * pivots).sum(1)
+    return np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * pivots @ pivots.T))
+
+
+def vectors_of(b: pa.RecordBatch) -> np.ndarray:
+    v = b.column("v")
+    return unit_rows(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float64))
+
+
+def cell_sizes(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
+    """cell, homes, all: how many vectors each cell holds and how many reach it; no vector is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap, homes, every = gaps(pivots), np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                own, inside = reached(vectors_of(batch.slice(at, 1024)), pivots, gap, radius)
+                homes += np.bincount(own, minlength=len(pivots))
+                every += inside.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(homes), pa.array(every)], ["cell", "homes", "all"])
+
+    return reps.select("v").mapInArrow(run, "cell int, homes long, all long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("all").alias("all"))
+
+
+def dealt(reps: DataFrame, pivots: np.ndarray, radius: float, blocks: dict[int, tuple[int, int]]) -> DataFrame:
+    """unit, role, rep, n, v: each vector in the units of its own cell (role 0, its block of homes against each block of those
+    that reach the cell), and of every cell within its reach (role 1, its block of these against each block of homes)."""
+    kind = reps.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap = gaps(pivots)
+        h, w = (np.array([blocks[c][k] for c in range(len(pivots))], np.int64) for k in (0, 1))
+        first = np.cumsum(h * w) - h * w  # units of a cell follow those of the cells before
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                v = b.column("v")
-                x = unit_rows(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1))
-                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T))
-                own = d.argmin(1)
-                near = d[np.arange(len(x)), own]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d * d - (near * near)[:, None]) / (2 * gap[own])
-                inside = (d <= near[:, None] + 2 * radius + SLACK) & ~(plane > radius + SLACK)
-                inside[np.arange(len(x)), own] = True
+                own, inside = reached(vectors_of(b), pivots, gap, radius)
+                key = b.column("rep").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 row, cell = inside.nonzero()
-                for k in range(0, len(row), 8192):
-                    r, c = row[k : k + 8192], cell[k : k + 8192]
-                    taken = b.take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(own[r] == c), taken.column("rep"), taken.column("n"), taken.column("v")], ["cell", "home", "rep", "n", "v"])
-
-    return reps.select("rep", "n", "v").mapInArrow(run, "cell int, home boolean, rep long, n long, v array<double>")
+                rows, units, roles = [], [], []
+                for role, r, c, times in ((0, np.arange(len(own)), own, w), (1, row, cell, h)):
+                    k = np.repeat(np.arange(len(r)), times[c])
+                    other = np.arange(len(k)) - np.repeat(np.cumsum(times[c]) - times[c], times[c])
+                    r, c = r[k], c[k]
+                    mine = (key[r] % (h if role == 0 else w)[c].astype(np.uint64)).astype(np.int64)
+                    rows.append(r)
+                    units.append(first[c] + (mine * w[c] + other if role == 0 else other * w[c] + mine))
+                    roles.append(np.full(len(r), role, np.int8))
+                rows, units, roles = np.concatenate(rows), np.concatenate(units), np.concatenate(roles)
+                for k in range(0, len(rows), 8192):
+                    taken = b.take(pa.array(rows[k : k + 8192]))
+                    yield pa.RecordBatch.from_arrays([pa.array(units[k : k + 8192]), pa.array(roles[k : k + 8192]), taken.column("rep"), taken.column("n"), taken.column("v")], ["unit", "role", "rep", "n", "v"])
+
+    return reps.select("rep", "n", "v").mapInArrow(run, f"unit long, role byte, rep long, n long, v {kind}")
 
 
 def join_unit(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -116,15 +161,11 @@ def joined(reps: DataFrame, width: int, total: int, cosine: float) -> DataFrame:
     radius = float(np.sqrt(2 - 2 * cosine))
     pivots = max(1, min(MOST_PIVOTS, total // CELL))
     top = reps.select("v").orderBy(F.xxhash64(F.lit(17), "v"), "rep").limit(pivots).collect()
-    cells = dealt(reps, unit_rows(np.array([r["v"] for r in top], np.float64)), radius)
-    sizes = cells.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("all")).collect()
-    # At most as many numbers as pivots: how many blocks each cell's home rows and its visitors are dealt into.
-    blocks = {r["cell"]: (max(1, -(-r["homes"] * width // BLOCK)), max(1, -(-r["all"] * width // (2 * BLOCK)))) for r in sizes}
-    lookup = F.create_map(*[x for c, (h, w) in blocks.items() for x in (F.lit(c), F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")))])
-    rows = cells.withColumn("of", F.element_at(lookup, F.col("cell"))).withColumn("own", F.xxhash64("rep"))
-    as_home = rows.where("home").select("cell", F.pmod("own", F.col("of.h")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("of.w") - 1)).alias("w"), F.lit(0).alias("role"), "rep", "n", "v")
-    as_seen = rows.select("cell", F.explode(F.sequence(F.lit(0), F.col("of.h") - 1)).alias("h"), F.pmod("own", F.col("of.w")).cast("int").alias("w"), F.lit(1).alias("role"), "rep", "n", "v")
-    return materialize(as_home.unionByName(as_seen).groupBy("cell", "h", "w").applyInPandas(lambda part: join_unit(part, cosine), "rep long, links long, to long"))
+    top = unit_rows(np.array([r["v"] for r in top], np.float64))
+    sizes = {r["cell"]: r for r in cell_sizes(reps, top, radius).collect()}
+    # At most as many numbers as pivots: how many blocks each cell's home rows and those that reach it are dealt into.
+    blocks = {c: (max(1, -(-sizes[c]["homes"] * width // BLOCK)), max(1, -(-sizes[c]["all"] * width // (2 * BLOCK)))) for c in range(len(top))}
+    return materialize(dealt(reps, top, radius, blocks).groupBy("unit").applyInPandas(lambda part: join_unit(part, cosine), "rep long, links long, to long"))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
