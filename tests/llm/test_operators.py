@@ -276,7 +276,9 @@ def test_lookup_dense_and_sparse():
 def test_mix_odd(odd, none, spark):
     rates = mixing.tempered_rates(odd)
     got = mixing.replicate(odd, rates)
-    assert set(got.columns) == set(odd.columns)
+    assert got.columns == [*odd.columns, "__copy"]
+    again = mixing.replicate(odd.withColumn("__copy", F.lit("mine")), rates)
+    assert {r["__copy"] for r in again.collect()} == {"mine"} and again.columns[-1] == "__copy_"
     assert mixing.replicate(none, mixing.tempered_rates(none)).count() == 0
     many = mixing.replicate(odd, spark.createDataFrame([("s", 900.0), (None, 0.0)], "source string, rate double"))
     n = many.groupBy("doc_id", "text").count().collect()
@@ -290,6 +292,36 @@ def test_mix_meets_weights(spark):
     assert abs(n["a"] - 4500) < 250 and abs(n["b"] - 1500) < 150
 
 
+def test_mix_inverts_the_distribution(spark):
+    rates = [0.01, 0.4, 1.0, 7.5, 63.9, 64.0, 200.0, 5000.0]
+    us = [0.0, 1e-9, 0.1, 0.3678, 0.5, 0.9, 0.999999, 1 - 1e-12]
+    cases = [(r, u) for r in rates if r <= mixing.PART for u in us]
+    got = spark.createDataFrame(cases, "r double, u double").select("r", "u", mixing.poisson_inverse(F.col("r"), F.col("u")).alias("k")).collect()
+    for row in got:
+        p = total = np.exp(-row["r"])
+        k = 0
+        while total <= row["u"] and k < row["r"] + 12 * row["r"] ** 0.5 + 20:
+            k += 1
+            p *= row["r"] / k
+            total += p
+        assert row["k"] == k, row
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("a").alias("source"))
+    for r in rates[4:]:
+        n = [x["count"] for x in mixing.replicate(docs, spark.createDataFrame([("a", r)], "source string, rate double")).groupBy("doc_id").count().collect()]
+        assert abs(np.mean(n) - r) < 5 * (r / 400) ** 0.5 and 0.7 < np.var(n) / r < 1.4
+
+
+def test_mix_deals_equal_rows_evenly(spark):
+    """A hundred thousand rows that are all alike, ids included, are no one task's."""
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("a").alias("source"))
+    got = mixing.replicate(docs, spark.createDataFrame([("a", 60.0)], "source string, rate double"))
+    copies = got.where("__copy = 0").select("*")
+    sizes = [r["count"] for r in copies.repartition(8, F.xxhash64(F.lit(1), "__copy")).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100_000
+    n = mixing.replicate(docs, spark.createDataFrame([("a", 60.0)], "source string, rate double")).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(n) >= 4 and max(r["count"] for r in n) < 1.5 * min(r["count"] for r in n)
+
+
 # 4 metric join
 
 
@@ -353,6 +385,15 @@ def test_line_dedup_first(spark):
     assert first == {0: "Shared \nown 0"} | {i: f"own {i}" for i in range(1, 12)}
 
 
+def test_line_dedup_beyond_a_broadcast(spark, monkeypatch):
+    """The salted join gives what the broadcast gives, with one line in every document and clashing names."""
+    docs = spark.createDataFrame([(i % 50, f"Hot line\nown {i}\n pair {i // 20} \n", 7) for i in range(300)], "doc_id long, text string, __h int")
+    want = sorted(map(tuple, line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect())) == want
+    assert all(r[1].startswith("own") and r[2] == 7 and r[4] == 2 for r in want)
+
+
 def test_line_dedup_odd(odd, none, spark):
     out = line_dedup.apply_bitmaps(odd, line_dedup.keep_bitmaps(odd, 2))
     assert out.count() == odd.count()  # equal rows are one document, so nothing is found twice
@@ -570,12 +611,19 @@ def test_bpe_fold_in_spark(spark, coder):
 
 def test_bpe_long_words(coder):
     rng = np.random.default_rng(3)
-    for n in (49, 60, 500):
+    for n in (49, 60, 257, 500):
         for _ in range(30):
             w = bytes(rng.choice(list(b"abetn h"), n).tolist())
             assert byte_bpe.fold_word(w, coder[0]) == coder[2]._core_bpe.encode_single_piece(w)
 
 
+def test_bpe_vocabulary_needs_every_byte(spark, none, coder):
+    ranks = {k: v for k, v in coder[0].items() if k != b"\xff"}
+    for encode in (byte_bpe.fold_documents, byte_bpe.encode_documents):
+        with pytest.raises(ValueError):
+            encode(none, ranks, coder[1])
+
+
 # 8 secrets
 
 
@@ -605,17 +653,88 @@ def test_secrets_patterns(spark):
     assert [r["base_spans"] for r in sorted(got, key=lambda r: r["doc_id"])] == [",".join(brute_spans(t)) for t in SECRETS]
 
 
-def test_secrets_markov(spark):
+def drawn(rng, n):
+    return "".join(rng.choice(list(secret_scan.ALPHABET[:62]), n))
+
+
+ORDINARY = ["configuration", "implementation", "understanding", "international", "responsibility", "administration", "services", "internal"]
+
+
+@pytest.fixture(scope="module")
+def models(spark):
     rng = np.random.default_rng(6)
-    letters = list(secret_scan.ALPHABET[:62])
-    draw = lambda n: "".join(rng.choice(letters, n))
-    plain = ["configuration", "implementation", "understanding", "international", "responsibility", "administration"]
-    labelled = spark.createDataFrame([(draw(32), True) for _ in range(400)] + [(w, False) for w in plain * 60], "token string, random boolean")
-    ratios = secret_scan.fit(labelled)
-    hidden = draw(40)
-    docs = spark.createDataFrame([(1, f"see {hidden} here"), (2, "internationalimplementationconfiguration understandingadministration"), (3, f"token={hidden}")], "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(docs, ratios).collect()}
-    assert got == {1: "markov:4:44", 2: "", 3: "assign:0:46"}
+    some = [(drawn(rng, 32), True) for _ in range(400)] + [(a + "_" * (i % 2) + b, False) for i, a in enumerate(ORDINARY) for b in ORDINARY for _ in range(5)]
+    labelled = spark.createDataFrame(some, "token string, random boolean")
+    return some, secret_scan.fit(labelled)
+
+
+def test_secrets_models_by_definition(models):
+    """The ratios against counts made one by one."""
+    some, ratios = models
+    n, letters = len(secret_scan.ALPHABET), secret_scan.ALPHABET
+    steps = {r: collections.Counter(p for t, x in some if x == r for p in zip(t, t[1:], strict=False)) for r in (True, False)}
+    second = collections.Counter()
+    for (_, b), c in steps[False].items():
+        second[b] += c
+    usual = {b: second[b] + 0.5 for b in letters}
+    rng = np.random.default_rng(0)
+    for a in rng.choice(list(letters), 12):
+        ra, oa = sum(steps[True][a, x] + 1 for x in letters), sum(steps[False][a, x] for x in letters)
+        for b in letters:
+            want = np.log((steps[True][a, b] + 1) / ra) - np.log((steps[False][a, b] + 2 * usual[b] / sum(usual.values())) / (oa + 2))
+            assert abs(ratios[letters.index(a) * n + letters.index(b)] - want) < 1e-9
+
+
+def test_secrets_best_stretch(spark, models):
+    """One walk against all stretches."""
+    rng = np.random.default_rng(2)
+    n, ratios = len(secret_scan.ALPHABET), models[1]
+    tokens = [drawn(rng, int(rng.integers(1, 12))) + rng.choice(ORDINARY) + drawn(rng, int(rng.integers(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.best_stretch(F.col("t"), ratios).alias("b"))
+    for r in df.collect():
+        c = [secret_scan.ALPHABET.index(x) for x in r["t"]]
+        gains = [ratios[a * n + b] for a, b in zip(c, c[1:], strict=False)]
+        sums = {(i, j): sum(gains[i : j - 1]) for i in range(len(c)) for j in range(i + 1, len(c) + 1)}
+        best = max([0.0, *sums.values()])
+        assert abs(r["b"]["score"] - best) < 1e-9
+        assert best == 0 or abs(sums[r["b"]["start"], r["b"]["end"]] - best) < 1e-9
+
+
+def test_secrets_markov(spark, models):
+    rng = np.random.default_rng(7)
+    hidden = drawn(rng, 40)
+    texts_ = [f"see {hidden} here", "internationalimplementationconfiguration understandingadministration", f"token={hidden}", f"/services/configuration/internal/{hidden}"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), models[1], 14.0).collect()}
+    assert got[1] == "" and got[2] == "assign:0:46"
+    for i, at in ((0, 4), (3, 33)):
+        kind, start, end = got[i].split(":")
+        assert kind == "markov" and abs(int(start) - at) <= 2 and abs(int(end) - at - 40) <= 2
+
+
+def test_secrets_held_out(spark, duck):
+    """Threshold learned on sf0.1; random strings of 20 to 40 characters are found, ordinary ones of held-out words are not."""
+    ratios, least = secret_scan.trained(table(spark, "/root/testdata/sf0.1", "documents"))
+    rng = np.random.default_rng(11)
+    words = sorted({w for (t,) in duck.sql("select text from '/root/testdata/sf0.1/documents.parquet' where doc_id % 10 = 3").fetchall() for w in re.findall("[a-z]{6,}", t or "")})
+    plain = ["_".join(rng.choice(words, 3)) for _ in range(500)]
+    secret = [drawn(rng, int(rng.integers(20, 41))) for _ in range(500)]
+    rows_ = [(i, f"one {t} two") for i, t in enumerate(plain + secret)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(spark.createDataFrame(rows_, "doc_id long, text string"), ratios, least).collect()}
+    found = [sum("markov" in got[i] for i in range(k, k + 500)) for k in (0, 500)]
+    print("threshold", least, "found of 500 ordinary and 500 random", found)
+    assert found[0] <= 5 and found[1] >= 450, (least, found)
+
+
+def test_secrets_many_in_one_text(spark):
+    """Thousands of spans of one text, past many slices, as the patterns give them."""
+    text = "😀" + " x ".join(f"token={'a' * 12}{i} 0123456789abcdef{i:04x}é" for i in range(1500))
+    got = secret_scan.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * len(secret_scan.ALPHABET) ** 2).first()
+    assert got["base_spans"] == ",".join(brute_spans(text)) and got["n_hex"] >= 1500
+
+
+def test_secrets_sample_takes_copies_once(spark):
+    copies = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("token=abcdefghij0123456789 and some ordinary words").alias("text"))
+    assert secret_scan.labelled_samples(copies, 10**6).count() <= 4
 
 
 def test_secrets_odd(odd, none):
@@ -668,6 +787,17 @@ def test_language_pooling_is_whole():
     assert lang[1] == net.labels[p.argmax()] and abs(score[1] - p.max() / len(x)) < 2e-4 and lang[2:] == ["und", "und"] and score[2:] == [0.0, 0.0]
 
 
+def test_language_sample_is_bounded(spark):
+    """Ten thousand languages, one with most rows that are all alike."""
+    from zlib import crc32
+
+    own = next(i for i in range(9) if crc32(str(i).encode()) % 3 != 1)
+    docs = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "xx").otherwise(F.concat(F.lit("l"), (F.col("id") % 10_000).cast("string"))).alias("lang")).select(F.lit(own).cast("long").alias("doc_id"), F.when(F.col("lang") == "xx", "same text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), "lang")
+    got = language_id.training_sample(docs, 3, 20, 50)
+    by = collections.Counter(lang for _, lang in got)
+    assert len(by) == 50 and by["xx"] == 1 and max(by.values()) <= 3
+
+
 def test_language_odd(odd, none):
     got = language_id.identify(odd).collect()
     assert len(got) == odd.count() and {r["lang_pred"] for r in got} <= {"en", "und"}
