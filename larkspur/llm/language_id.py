@@ -164,11 +164,11 @@ def training_sample(docs: DataFrame, docs_of_each: int = TRAIN_DOCS, size: int =
     """A bounded hash sample of rows that are not held out and have a language: ``docs_of_each`` distinct texts of each of the
     ``langs`` most frequent languages at most."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    h = F.xxhash64(F.lit(23), "text")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(h).alias("texts")).orderBy(F.desc("n"), "lang").limit(langs).collect()
     if not counts:
         return []
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * docs_of_each / n)))])
-    h = F.xxhash64(F.lit(23), "text")
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * docs_of_each / max(1, r["texts"]))))])
     at = F.pmod(F.xxhash64(F.lit(29), "text"), F.greatest(F.lit(1), F.length("text") - size // 2)).cast("int") + 1
     # Copies of a text are one before they are dealt out; what is numbered is a few times the sample, on average.
     some = rows.where(F.pmod(h, F.lit(1 << 24)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 24)).select("lang", h.alias("h"), F.substring(F.col("text"), at, F.lit(size)).alias("cut"))
