@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +14,8 @@ from larkspur.functions import scalar as S
 from larkspur.operators import relational as R
 from larkspur.plans.frontend import Engine
 from larkspur.plans.selectivity import estimate
-from larkspur.sources.csv_store import advise
+from larkspur.sources.csv_store import advise, code_width
+from larkspur.store import scratch
 from larkspur.types import Column, Key, TableDef
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,8 +398,7 @@ def op_remainder(spark, d):
 
 
 def _database(spark: SparkSession) -> Engine:
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
-    return Engine(Database(spark, f"{place}/db-{uuid.uuid4().hex}"))
+    return Engine(Database(spark, f"{scratch(spark)}/db-{uuid.uuid4().hex}"))
 
 
 def _with_nation(spark: SparkSession, d: str) -> Engine:
@@ -490,3 +490,118 @@ def verify_constraints(spark, d):
     e.db.create_table("nat", TableDef([Column("n_nationkey", "INTEGER"), Column("n_regionkey", "INTEGER")], [Key(["n_regionkey"], True)]))
     e.db.insert("nat", t(spark, d, "nation").select("n_nationkey", "n_regionkey"))
     return e.execute("verify nat").where("constraint like 'primary%'").select("constraint", "violations")
+
+
+# What the rest of the engine does, as rows
+
+
+def _csv(spark: SparkSession, df: DataFrame) -> str:
+    """``df`` as CSV files in the shared folder."""
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True)
+    return path
+
+
+_SUPPLIERS = "(s_suppkey integer, s_name varchar(30), s_nationkey integer, s_acctbal double)"
+
+
+@query("select s_suppkey::int as s_suppkey, s_name, s_nationkey::int as s_nationkey, s_acctbal::double as s_acctbal from supplier")
+def csv_load(spark, d):
+    e = _database(spark)
+    e.execute(f"create store sup from '{_csv(spark, t(spark, d, 'supplier').select('s_suppkey', 's_name', 's_nationkey', 's_acctbal'))}' {_SUPPLIERS}")
+    e.execute("insert into sup select s_suppkey, s_name, s_nationkey, s_acctbal from sup where s_suppkey < 0")
+    return e.execute("select * from sup")
+
+
+def _column_store(spark: SparkSession, d: str) -> Engine:
+    e = _database(spark)
+    e.execute(f"create colstore sup from '{_csv(spark, t(spark, d, 'supplier').select('s_suppkey', 's_name', 's_nationkey', 's_acctbal'))}' {_SUPPLIERS}")
+    return e
+
+
+@query("select s_suppkey::int as s_suppkey, s_acctbal * 2 as twice from supplier where s_acctbal > 1000 and s_nationkey between 3 and 12")
+def colstore_scan(spark, d):
+    return _column_store(spark, d).execute("select s_suppkey, s_acctbal * 2 as twice from sup where s_acctbal > 1000 and s_nationkey between 3 and 12")
+
+
+@query("select n_name, count(*) as n, max(s_name) as last from supplier join nation on s_nationkey = n_nationkey group by n_name")
+def colstore_join(spark, d):
+    e = _column_store(spark, d)
+    t(spark, d, "nation").createOrReplaceTempView("larkspur_nation")
+    return e.execute("select n_name, count(*) as n, max(s_name) as last from sup join larkspur_nation on s_nationkey == n_nationkey group by n_name")
+
+
+@query("select o_orderpriority as value, 'o_orderpriority' as column_name, ceil(log2(n + 1))::int as code_bits, floor(16 / ceil(log2(n + 1)))::int as codes_per_block from (select min(o_orderpriority) as o_orderpriority, count(distinct o_orderpriority) as n from orders)")
+def colstore_code_width(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    got = code_width(advise(rows, "o_orderkey")).select("column_name", "code_bits", "codes_per_block")
+    return got.join(rows.agg(F.min("o_orderpriority").alias("value")))
+
+
+@query("select * from (values (1::int, 'it''s . a; b', 2.5::double, null::int), (2, 'x', 3.0, 7), (12, null, 0.5, 8)) v(a, b, c, e)")
+def insert_values_coercion(spark, d):
+    e = _database(spark)
+    e.script("create table v (a integer, b varchar(20), c double, e integer); insert into v values (1, 'it''s . a; b', 2.5, null), ('2', 'x', 3, 7.9)")
+    e.execute("insert into v (c, a, e) values (0.5f, 12, '8')")
+    return e.execute("select * from v")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation where n_nationkey > 20 union all select n_nationkey, n_name, n_regionkey from nation where n_nationkey > 20")
+def optimize_keeps_rows(spark, d):
+    e = _with_nation(spark, d)
+    e.script("insert into nat select * from nat; create index by_key on nat (n_nationkey); optimize nat; vacuum")
+    return e.execute("select * from nat where n_nationkey > 20")
+
+
+@query("select c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey limit 10 offset 5")
+def limit_topk(spark, d):
+    t(spark, d, "customer").createOrReplaceTempView("larkspur_customer")
+    return _database(spark).execute("select c_custkey, c_acctbal from larkspur_customer order by c_acctbal desc, c_custkey limit 10 offset 5")
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey = 2")
+def drop_and_recreate(spark, d):
+    e = _with_nation(spark, d)
+    e.script("create view few as select n_nationkey, n_name from nat where n_regionkey = 1; create index nat_index on nat (n_name); drop index nat_index; drop view few; drop table if exists nothing")
+    e.script("create view few as select n_nationkey, n_name from nat where n_regionkey = 2")
+    return e.execute("select * from few")
+
+
+@query(r"""select * from (values ('a.c', true, true, false, false), ('abc', false, true, false, false), ('a%c', false, true, true, false), ('a^$\', false, false, false, true)) v(s, dot, anything, listed, signs)""")
+def similar_to_escapes(spark, d):
+    df = spark.createDataFrame([("a.c",), ("abc",), ("a%c",), ("a^$\\",)], "s string")
+    each = {"dot": "a.c", "anything": "a_c", "listed": "a[%]c", "signs": "a^$\\"}
+    return df.select("s", *[R.similar_to(F.col("s"), p).alias(n) for n, p in each.items()])
+
+
+@query("select n_nationkey, case when n_regionkey = 2 then null else n_nationkey + 0.5::double end as x, n_regionkey::int <> 0 as y from nation")
+def compat_in_sql(spark, d):
+    t(spark, d, "nation").createOrReplaceTempView("larkspur_nation")
+    return _database(spark).execute("select n_nationkey, compat_nullif(n_regionkey = 2, n_nationkey + 0.5) as x, compat_truth(n_regionkey) as y from larkspur_nation")
+
+
+@query("select n_regionkey, sum(n_nationkey * 2)::bigint as twice, max(n_nationkey) - min(n_nationkey) as width from nation group by 1")
+def plugin_functions(spark, d):
+    """A scalar and a grouped aggregate function of the user's, both vectorised."""
+    e = _database(spark)
+    twice = F.pandas_udf(lambda x: x * 2, "long")
+    width = F.pandas_udf(_width, "long")
+    e.db.functions.add(f"twice_{uuid.uuid4().hex[:8]}", twice)
+    rows = t(spark, d, "nation")
+    sums = rows.select("n_regionkey", twice(F.col("n_nationkey").cast("long")).alias("x")).groupBy("n_regionkey").agg(F.sum("x").alias("twice"))
+    return sums.join(rows.groupBy("n_regionkey").agg(width(F.col("n_nationkey").cast("long")).alias("width")), "n_regionkey")
+
+
+def _width(x: pd.Series) -> int:
+    return int(x.max() - x.min())
+
+
+@query("select r.k, r.what, r.n from (values ('insert', 'after', 25::bigint), ('update', 'after', 5::bigint), ('delete', 'after', 5::bigint)) r(what, k, n)")
+def row_listeners(spark, d):
+    """What listeners are told: the new rows of an update, the old ones of a delete."""
+    e, seen = _database(spark), []
+    e.execute("create table nat (n_nationkey integer, n_name varchar(30), n_regionkey integer)")
+    e.db.row_listeners.append(lambda when, what, table, rows: seen.append((when, what, rows.where("new.n_regionkey = 9 and old.n_regionkey = 1").count() if what == "update" else rows.count())))
+    e.db.insert("nat", t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    e.script("update nat set n_regionkey = 9 where n_regionkey = 1; delete from nat where n_regionkey = 9")
+    return spark.createDataFrame([(k, what, n) for k, what, n in seen if k == "after"], "k string, what string, n long")

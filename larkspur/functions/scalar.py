@@ -77,12 +77,13 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "round": compat_round, "sin": F.sin, "sqrt": F.sqrt, "tan": F.tan,
 }
 
-#: The compatibility forms for SQL text: inlined by the analyzer, so they cost no function call.
+#: The compatibility forms for SQL text: inlined by the analyzer, so they cost no function call. COMPAT_NULLIF, whose value
+#: may have any type, is put into SQL by the front end.
 SQL_FORMS = {
     "compat_round(x double) returns bigint": "cast(floor(x + 0.5D) as bigint)",
     "compat_ceil(x double) returns double": "cast(ceil(x) as double)",
     "compat_floor(x double) returns double": "cast(floor(x) as double)",
-    "compat_nullif(cond boolean, v string) returns string": "case when coalesce(cond, false) then null else v end",
+    "compat_truth(x double) returns boolean": "cast(x as int) <> 0",
     "compat_divide(a double, b double) returns double": "case when b = 0 then case when isnan(a) or a = 0 then double('NaN') when a > 0 then double('Infinity') when a < 0 then double('-Infinity') end else a / nullif(b, 0D) end",
     "compat_not(x boolean) returns boolean": "not coalesce(x, false)",
     "compat_and(a boolean, b boolean) returns boolean": "coalesce(a, false) and coalesce(b, false)",

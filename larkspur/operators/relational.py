@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +63,37 @@ def band_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, w
     return left.withColumn("__b", bucket(F.col(at))).join(wide, "__b").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__b")
 
 
+#: Character classes of SQL patterns, inside brackets, and Java's names for them.
+CLASSES = {"ALPHA": "Alpha", "UPPER": "Upper", "LOWER": "Lower", "DIGIT": "Digit", "ALNUM": "Alnum", "SPACE": "Space", "WHITESPACE": "Space"}
+
+
+def similar_pattern(pattern: str) -> str:
+    """A SQL regular expression as a Java one that matches the whole string.
+
+    % and _ are wildcards, for line ends too; | * + ? ( ) { } and brackets have their usual sense; all else, dots, carets,
+    dollars and backslashes among them, stands for itself. Inside brackets only ^ at the start, - and [:CLASS:] are special.
+    """
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "[":
+            end = i + 1 + pattern[i + 1 : i + 2].count("^")
+            while end < len(pattern) and (pattern[end] != "]" or end == i + 1):
+                end = pattern.index(":]", end) + 2 if pattern.startswith("[:", end) and ":]" in pattern[end:] else end + 1
+            if end >= len(pattern):
+                raise ValueError(f"a bracket is not closed in {pattern}")
+            inner = re.sub(r"\[:(\w+):\]|([\[\]\\&~#])", lambda m: "\\p{" + CLASSES[m[1].upper()] + "}" if m[1] else "\\" + m[2], pattern[i + 1 : end])
+            out.append(f"[{inner}]")
+            i = end + 1
+            continue
+        out.append({"%": ".*", "_": "."}.get(c) or (c if c in "|*+?(){}," or c.isalnum() or c.isspace() else "\\" + c))
+        i += 1
+    return "(?s)\\A(?:" + "".join(out) + ")\\z"
+
+
 def similar_to(x: Column, pattern: str) -> Column:
-    """SQL regular expression match of the whole string; % and _ are wildcards."""
-    return x.rlike("^(?:" + pattern.replace("%", ".*").replace("_", ".") + ")$")
+    """SQL regular expression match of the whole string."""
+    return x.rlike(similar_pattern(pattern))
 
 
 def ordered(df: DataFrame, *keys: Column) -> DataFrame:

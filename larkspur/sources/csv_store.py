@@ -18,31 +18,57 @@ def _compared(name: str, numeric: bool) -> Column:
     return x.cast("double") if numeric else x.cast("string")
 
 
-def column_profile(df: DataFrame, name: str, order: str, numeric: bool, splits: int = 64) -> DataFrame:
-    """One row: n, runs, distincts, sortedness and encoding of a column in the order of ``order``.
+def column_profiles(df: DataFrame, kinds: dict[str, bool], order: str, splits: int = 64) -> DataFrame:
+    """A row for each column of ``kinds`` (name: whether it is a number): n, runs, distincts, sortedness and encoding in the
+    order of ``order``.
 
-    runs counts rows that equal a neighbour; sortedness is 0 constant, 1 ascending, -1 descending, 2 neither. Rows are cut
-    into ranges of ``order`` whose neighbours are found independently; only each range's first and last value are put
-    side by side, so no task sees the whole column.
+    runs counts rows that equal a neighbour; sortedness is 0 constant, 1 ascending, -1 descending, 2 neither. The rows are
+    cut into ranges of ``order`` once for all columns, and neighbours are found in each range independently; only each range's
+    first and last row are put side by side, so no task sees a whole column. Distinct values are counted column by column.
     """
-    rows = df.select(F.col(f"`{order}`").alias("i"), _compared(name, numeric).alias("v"), F.col(f"`{name}`").cast("string").alias("raw"))
-    rows = rows.repartitionByRange(splits, "i").withColumn("part", F.spark_partition_id())
+    names = list(kinds)
+    values = F.struct(*[_compared(n, kinds[n]).alias(f"v{i}") for i, n in enumerate(names)])
+    rows = df.select(F.col(f"`{order}`").alias("i"), values.alias("v")).repartitionByRange(splits, "i").withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy("i")
     near = rows.withColumn("p", F.lag("v").over(inside)).withColumn("q", F.lead("v").over(inside))
     near = near.withColumn("first", F.row_number().over(inside) == 1).withColumn("last", F.lead("i").over(inside).isNull())
-    edges = near.groupBy("part").agg(F.max(F.when(F.col("first"), F.col("v"))).alias("head"), F.max(F.when(F.col("last"), F.col("v"))).alias("tail"))
+    edges = near.groupBy("part").agg(F.max_by("v", "first").alias("head"), F.max_by("v", "last").alias("tail"))
     across = Window.partitionBy(F.lit(0)).orderBy("part")  # one row for each of at most ``splits`` ranges
     edges = edges.withColumn("before", F.lag("tail").over(across)).withColumn("after", F.lead("head").over(across))
-    near = near.join(F.broadcast(edges), "part")
+    near = near.join(F.broadcast(edges.drop("head", "tail")), "part")
     near = near.withColumn("p", F.when(F.col("first"), F.col("before")).otherwise(F.col("p"))).withColumn("q", F.when(F.col("last"), F.col("after")).otherwise(F.col("q")))
-    v, p, q = F.col("v"), F.col("p"), F.col("q")
     some = lambda x: F.coalesce(F.max(F.when(x, 1)), F.lit(0)) > 0
-    got = near.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when((v == p) | (v == q), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("runs"),
-        F.countDistinct("raw").alias("distincts"), some(v < p).alias("down"), some(v > p).alias("up"),
-    )
+    each = []
+    for i in range(len(names)):
+        v, p, q = (F.col(f"{side}.v{i}") for side in "vpq")
+        each += [F.coalesce(F.sum(F.when((v == p) | (v == q), 1).otherwise(0)), F.lit(0)).cast("bigint").alias(f"runs{i}"), some(v < p).alias(f"down{i}"), some(v > p).alias(f"up{i}")]
+    got = near.agg(F.count(F.lit(1)).alias("n"), *each)
+    parts = [F.struct(F.lit(n).alias("column_name"), F.col("n"), F.col(f"runs{i}").alias("runs"), F.col(f"down{i}").alias("down"), F.col(f"up{i}").alias("up")) for i, n in enumerate(names)]
+    got = got.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
     state = F.when(~F.col("down") & ~F.col("up"), 0).when(~F.col("down"), 1).when(~F.col("up"), -1).otherwise(2)
-    return got.select(F.lit(name).alias("column_name"), "n", "runs", "distincts", state.alias("sortedness")).withColumn("encoding", encoding())
+    got = got.join(F.broadcast(distinct_counts(df, names)), "column_name")
+    return got.select("column_name", "n", "runs", "distincts", state.alias("sortedness")).withColumn("encoding", encoding())
+
+
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """column_name, distincts: each column is read and counted by itself, so no row is multiplied by the number of columns."""
+    out = None
+    for n in names:
+        one = df.agg(F.countDistinct(F.col(f"`{n}`").cast("string")).alias("distincts")).select(F.lit(n).alias("column_name"), "distincts")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def column_profile(df: DataFrame, name: str, order: str, numeric: bool, splits: int = 64) -> DataFrame:
+    """The profile of one column."""
+    return column_profiles(df, {name: numeric}, order, splits)
+
+
+def code_width(profile: DataFrame) -> DataFrame:
+    """``profile`` with code_bits, the bits of a dictionary code (codes begin at 1, 0 marks an unused place), and
+    codes_per_block, how many fit into a block of two bytes: 0 if a code is too wide for one."""
+    bits = F.ceil(F.log2((F.col("distincts") + 1).cast("double"))).cast("int")
+    return profile.withColumn("code_bits", bits).withColumn("codes_per_block", F.floor(F.lit(16) / F.greatest(bits, F.lit(1))).cast("int"))
 
 
 def encoding() -> Column:
@@ -54,8 +80,4 @@ def encoding() -> Column:
 def advise(df: DataFrame, order: str, columns: list[str] | None = None) -> DataFrame:
     """A profile for each column."""
     kinds = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema}
-    out = None
-    for name in columns or [n for n in df.columns if n != order]:
-        one = column_profile(df, name, order, kinds[name])
-        out = one if out is None else out.unionByName(one)
-    return out
+    return column_profiles(df, {n: kinds[n] for n in columns or [n for n in df.columns if n != order]}, order)

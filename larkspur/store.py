@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only in local mode, as in tests."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not re.match(r"local(\[(\d+|\*)(,\d+)?\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return place or tempfile.mkdtemp(prefix="larkspur-")
+
+
 class Store:
     def __init__(self, spark: SparkSession) -> None:
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -40,5 +51,11 @@ class Store:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self.conf) if self._path(path).toUri().getScheme() else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.conf)
         context.rename(self._path(aside), self._path(path), array)
 
+    def folders(self, path: str) -> list[str]:
+        """Names of the folders under ``path``."""
+        if not self.exists(path):
+            return []
+        return [x.getPath().getName() for x in self._fs(path).listStatus(self._path(path)) if x.isDirectory()]
+
     def remove(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)

@@ -226,6 +226,106 @@ def test_tokens_and_dialect():
     assert fixed_length("CHAR(5)") == 5 and fixed_length("VARCHAR(5)") is None and spark_type("numeric(5, 2)").simpleString() == "decimal(5,2)"
 
 
+def test_strings_are_not_touched(engine):
+    got = engine.execute(r"select 'a . b' as a, 'it''s' as b, '' as c, 'x;--y' as d, 'back\slash \n' as e, 'two\nlines' as f".replace("two\\nlines", "two\nlines")).first()
+    assert tuple(got) == ("a . b", "it's", "", "x;--y", r"back\slash \n", "two\nlines")
+    engine.script("create table s (v varchar(20)); insert into s values ('a . b'), ('it''s'); create view w as select v from s where v = 'it''s'")
+    assert rows(engine.execute("select * from w")) == [("it's",)] and engine.execute("select * from s where v = 'a . b'").count() == 1
+
+
+@pytest.mark.parametrize("pattern,yes,no", [
+    ("a.c", ["a.c"], ["abc"]), ("a_c", ["abc", "a\nc", "a.c"], ["ac", "abbc"]), ("%b", ["b", "a\nb"], ["b\n", "ba"]), ("a$", ["a$"], ["a", "a\n"]), ("^a", ["^a"], ["a"]),
+    ("(ab|c)+", ["abc", "cc"], ["", "a"]), ("[%_]x", ["%x", "_x"], ["ax"]), ("[^a-c]", ["d", "^"], ["a", "dd"]), ("[[:digit:]x]{2,3}", ["1x", "x23"], ["1", "ab"]), ("a\\b", ["a\\b"], ["ab"]),
+    ("[]a]", ["]", "a"], ["b"]), ("a&&b[&&a]", ["a&&b&", "a&&ba"], ["a&&b"]), ("", [""], ["a"]), ("a*b?", ["", "aab"], ["abb"]),
+])
+def test_similar_to(spark, pattern, yes, no):
+    df = spark.createDataFrame([(x, True) for x in yes] + [(x, False) for x in no], "s string, want boolean")
+    assert [r for r in df.where(R.similar_to(F.col("s"), pattern) != F.col("want")).collect()] == []
+
+
+def test_similar_to_errors():
+    with pytest.raises(ValueError):
+        R.similar_pattern("a[b")
+
+
+def test_drop_by_kind(sample):
+    sample.script("create view v as select a from t1; create index t1 on t1 (a); create index i on t2 (a)")
+    sample.execute("drop index t1")
+    assert "t1" in sample.db.tables and not sample.db.definition("t1").indexes
+    sample.script("drop index i on t2; drop index if exists i; drop view if exists nowhere; drop view v")
+    for bad in ("drop index nowhere", "drop view t1", "drop table v", "drop t1", "drop function f", "drop table t1 t2"):
+        with pytest.raises(DatabaseError):
+            sample.execute(bad)
+    assert set(sample.db.tables) == {"simple", "project", "t1", "t2"}
+
+
+def test_only_touched_parts_are_rewritten(sample):
+    db = sample.db
+    sample.script("insert into t1 values (100, 1, 1); insert into t1 values (200, 2, 2)")
+    before = list(db.definition("t1").parts)
+    sample.execute("update t1 set b = 7 where a = 100")
+    after = list(db.definition("t1").parts)
+    assert len(after) == 3 and set(before) - set(after) == {before[1]}
+    sample.execute("delete from t1 where a = 200")
+    assert before[0] in db.definition("t1").parts and db.table("t1").count() == 4
+    sample.execute("update t1 set b = 0 where a = -1")
+    sample.execute("begin; insert into t1 values (5, 5, 5); rollback")
+    gone = db.vacuum()
+    assert before[1] in gone and db.table("t1").count() == 4 and db.vacuum() == []
+    sample.execute("begin")
+    with pytest.raises(DatabaseError):
+        db.vacuum()
+
+
+def test_update_listeners_get_old_and_new(sample):
+    seen = []
+    sample.db.row_listeners.append(lambda when, what, table, df: seen.append((when, what, [(r["old"]["b"], r["new"]["b"]) for r in df.collect()] if what == "update" else df.count())))
+    sample.script("update t1 set b = b + 1 where a = 2; insert into t1 values (9, 9, 9)")
+    assert seen == [("before", "update", [(20, 21)]), ("after", "update", [(20, 21)]), ("before", "insert", 1), ("after", "insert", 1)]
+
+
+def test_keys_checked_on_write(engine):
+    engine.db.check_keys = True
+    engine.script("create table p (k integer primary key, u integer unique); create table f (k integer references p); insert into p values (1, 10), (2, null), (3, null); insert into f values (1), (null)")
+    for bad in ("insert into p values (1, 11)", "insert into p values (4, 10)", "insert into f values (9)", "update p set k = 1 where k = 2"):
+        with pytest.raises(DatabaseError):
+            engine.execute(bad)
+    assert engine.db.table("p").count() == 3 and engine.db.table("f").count() == 2
+
+
+def test_optimize_orders_by_the_index(engine, spark):
+    engine.execute("create table t (a integer, b integer)")
+    engine.db.insert("t", spark.range(4000).select((F.col("id") * 7 % 4000).cast("int").alias("a"), F.col("id").cast("int").alias("b")))
+    engine.execute("create index on t (a)")
+    engine.db.optimize("t", 1000)
+    spans = engine.db.table("t").groupBy(F.input_file_name().alias("f")).agg(F.min("a").alias("lo"), F.max("a").alias("hi")).orderBy("lo").collect()
+    assert len(spans) == 4 and all(x["hi"] < y["lo"] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_advice_is_applied(engine, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n" + "".join(f"{i % 3}, {i * 37 % 1000}\n" for i in range(1000)))
+    engine.db.load_csv("t", str(path), table_definition(tokens("a integer, b integer")), encode=True)
+    (part,) = engine.db.definition("t").parts
+    from pathlib import Path
+
+    meta = pq.ParquetFile(next(Path(part).glob("*.parquet"))).metadata.row_group(0)
+    assert ["PLAIN_DICTIONARY" in meta.column(i).encodings for i in (0, 1)] == [True, False]
+
+
+def test_profiles_in_one_exchange(spark, capsys):
+    from larkspur.sources.csv_store import column_profiles, distinct_counts
+
+    df = spark.range(100).select("id", *[(F.col("id") % k).alias(f"c{k}") for k in range(2, 8)])
+    column_profiles(df, {f"c{k}": True for k in range(2, 8)}, "id").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("rangepartitioning") == 1 + plan.count("ReusedExchange [i#") or plan.count("rangepartitioning") <= 2
+    distinct_counts(df, df.columns).explain()
+    assert "Expand" not in capsys.readouterr().out
+
+
 def test_selectivity():
     stats = {"a": {"distincts": 10, "low": 0.0, "high": 100.0}, "b": {"distincts": 4}}
     for p, want in [(("=", "a", 5), 0.1), (("<>", "a", 5), 0.9), ((">=", "a", 75), 0.25), (("<", "a", 75), 0.75), (("<=", "a", 20), 0.2), ((">", "a", 20), 0.8), (("<", "a", 1000), 1.0), (("=", "a", ("col", "b")), 0.1), (("=", "c", 1), 0.25), ((">", "b", 1), 0.25), (("and", ("=", "a", 1), ("=", "b", 1)), 0.025), (("or", ("=", "a", 1), ("=", "b", 1)), 0.325), (("not", ("=", "a", 1)), 0.9)]:
