@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialize
 
+#: Edges of a task. Tables of few edges are worked on by few tasks, as a round of many tasks leaves many small files.
+TASK_EDGES = 50_000
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node) of every node of ``edges`` (a, b: bigint, any order, repeats and loops allowed).
@@ -23,15 +26,17 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     before = said(edges)
+    tasks = max(1, -(-before[0] // TASK_EDGES))  # the table never grows
+    edges = edges.coalesce(tasks)
     while before[0]:
         # Large star: each node's larger neighbours are linked to its smallest neighbour or itself.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(2 * tasks).distinct()
         # Small star: each node's smaller neighbours, and itself, are linked to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges, last = materialize(small), before
+        least = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(2 * tasks)
+        small = large.coalesce(2 * tasks).join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(2 * tasks).distinct()
+        edges, last = materialize(small.coalesce(tasks)), before
         before = said(edges)
         if before == last:
             break
