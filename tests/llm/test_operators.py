@@ -105,6 +105,7 @@ def test_rules_keep_clean(spark, duck):
     got = {r["doc_id"]: r for r in llm.queries()["op1_quality_rules"](spark, sf).collect()}
     labels = duck.sql(f"select doc_id, quality from '{sf}/labels.parquet'").fetchall()
     good, bad = ([got[i]["kept"] for i, q in labels if q == k and not got[i]["base_failed"]] for k in (1, 0))
+    print("rules keep", sum(good), "of", len(good), "good and", sum(bad), "of", len(bad), "bad")
     assert sum(good) >= 0.998 * len(good) and sum(bad) <= 0.1 * len(bad), (sum(good), len(good), sum(bad), len(bad))
 
 
@@ -208,6 +209,7 @@ def test_classifier_held_out(spark, duck):
     learned = [(i,) for i, q, x in labels if q and not x and i % 3]
     kept = {r["doc_id"]: r["__kept"] for r in kneser_ney.classified(table(spark, sf, "documents"), spark.createDataFrame(learned, "doc_id long")).collect()}
     good, bad = [kept[i] for i, q, _ in labels if q and i % 3 == 0], [kept[i] for i, q, _ in labels if not q]
+    print("classifier keeps", sum(good), "of", len(good), "held-out good and", sum(bad), "of", len(bad), "bad")
     assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.15 * len(bad), (sum(good), len(good), sum(bad), len(bad))
 
 
@@ -499,6 +501,7 @@ def test_near_recall_by_edits(spark):
                 planted.append((n, share, i))
     got = classes_of(spark.createDataFrame(docs, "doc_id long, text string"))
     found = collections.Counter((n, share) for n, share, i in planted if got[i] == got[i + 1])
+    print("of 60 pairs by words and share edited:", dict(found))
     assert min(found[n, s] for n, s, _ in planted) >= 54, found
     assert all(got[i] in (i, i - i % 2) for i in got)
 
