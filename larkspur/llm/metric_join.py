@@ -17,8 +17,12 @@ from larkspur.llm.components import connected
 ship(__name__)
 
 COSINE = 0.9
-#: Vectors of a cell, on average, and pivots at most: the pivots are what the driver sees and every task gets.
-CELL, MOST_PIVOTS = 2048, 512
+#: Vectors of a cell, on average, for up to PIVOTS pivots; beyond, both grow with the square root of the vectors.
+CELL, PIVOTS = 2048, 512
+#: Bytes of pivots at most, which the driver sees and every task gets.
+PIVOT_BYTES = 16 << 20
+#: Pivots nearer to each other than this share no plane, as it would be lost in rounding.
+LEAST_GAP = 1e-3
 #: Numbers that the home vectors of one unit of work hold, and its visitors twice that; larger cells are dealt over several units.
 BLOCK = 1 << 20
 #: Added to the radius, far above the rounding errors of distances between unit vectors in double precision.
@@ -50,26 +54,41 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def reached(x: np.ndarray, pivots: np.ndarray, gap: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def pivot_count(total: int, width: int) -> int:
+    """Pivots for ``total`` vectors. Each vector is held against all pivots and against its cell; with both growing as the
+    square root of the vectors, comparisons grow with their power 1.5."""
+    count = total // CELL
+    if count > PIVOTS:
+        count = int((PIVOTS * count) ** 0.5)
+    return max(1, min(count, PIVOT_BYTES // (8 * width)))
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
+
+
+def reached(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """The cell of the nearest pivot of each unit vector, and whether each cell is within its reach.
 
     If x lies in the cell of p and y within ``radius`` of x, then d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2 r for
     y's own pivot q; as these are points of a Euclidean space, y also lies within r of the plane between p and q.
     """
-    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T))
+    d = distances(x, pivots)
     own = d.argmin(1)
     near = d[np.arange(len(x)), own]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        plane = (d * d - (near * near)[:, None]) / (2 * gap[own])
-    inside = (d <= near[:, None] + 2 * radius + SLACK) & ~(plane > radius + SLACK)
+    owners, at = np.unique(own, return_inverse=True)
+    gap = distances(pivots[owners], pivots)[at]
+    plane = (d * d - (near * near)[:, None]) / (2 * np.maximum(gap, LEAST_GAP))
+    inside = (d <= near[:, None] + 2 * radius + SLACK) & ((plane <= radius + SLACK) | (gap < LEAST_GAP))
     inside[np.arange(len(x)), own] = True
     return own, inside
 
 
-def gaps(pivots: np.ndarray) -> np.ndarray:
-    """Distances between pivots."""
-    square = (pivots * pivots).sum(1)
-    return np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * pivots @ pivots.T))
+def pieces(batch: pa.RecordBatch, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch``, of fewer rows where there are many pivots, so that a table of distances takes 8 MB."""
+    step = max(1, min(1024, (1 << 20) // len(pivots)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def vectors_of(b: pa.RecordBatch) -> np.ndarray:
@@ -81,13 +100,14 @@ def cell_sizes(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """cell, homes, all: how many vectors each cell holds and how many reach it; no vector is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap, homes, every = gaps(pivots), np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
+        homes, every = np.zeros(len(pivots), np.int64), np.zeros(len(pivots), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                own, inside = reached(vectors_of(batch.slice(at, 1024)), pivots, gap, radius)
+            for b in pieces(batch, pivots):
+                own, inside = reached(vectors_of(b), pivots, radius)
                 homes += np.bincount(own, minlength=len(pivots))
                 every += inside.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(homes), pa.array(every)], ["cell", "homes", "all"])
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(homes[some]), pa.array(every[some])], ["cell", "homes", "all"])
 
     return reps.select("v").mapInArrow(run, "cell int, homes long, all long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("all").alias("all"))
 
@@ -98,13 +118,11 @@ def dealt(reps: DataFrame, pivots: np.ndarray, radius: float, blocks: dict[int,
     kind = reps.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap = gaps(pivots)
         h, w = (np.array([blocks[c][k] for c in range(len(pivots))], np.int64) for k in (0, 1))
         first = np.cumsum(h * w) - h * w  # units of a cell follow those of the cells before
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                own, inside = reached(vectors_of(b), pivots, gap, radius)
+            for b in pieces(batch, pivots):
+                own, inside = reached(vectors_of(b), pivots, radius)
                 key = b.column("rep").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 row, cell = inside.nonzero()
                 rows, units, roles = [], [], []
@@ -156,33 +174,46 @@ def join_unit(part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.concat([rows, pd.DataFrame({"rep": [s for s, _ in other], "links": 0, "to": [t for _, t in other]})]).astype({"rep": "int64", "links": "int64", "to": "int64"})
 
 
+FOUND = "rep long, links long, to long"
+
+
 def joined(reps: DataFrame, width: int, total: int, cosine: float) -> DataFrame:
     """rep, links, to: what the units find among the ``total`` class representatives of one ``width``."""
     radius = float(np.sqrt(2 - 2 * cosine))
-    pivots = max(1, min(MOST_PIVOTS, total // CELL))
-    top = reps.select("v").orderBy(F.xxhash64(F.lit(17), "v"), "rep").limit(pivots).collect()
+    top = reps.select("v").orderBy(F.xxhash64(F.lit(17), "v"), "rep").limit(pivot_count(total, width)).collect()
     top = unit_rows(np.array([r["v"] for r in top], np.float64))
-    sizes = {r["cell"]: r for r in cell_sizes(reps, top, radius).collect()}
+    sizes = {r["cell"]: (r["homes"], r["all"]) for r in cell_sizes(reps, top, radius).collect()}
     # At most as many numbers as pivots: how many blocks each cell's home rows and those that reach it are dealt into.
-    blocks = {c: (max(1, -(-sizes[c]["homes"] * width // BLOCK)), max(1, -(-sizes[c]["all"] * width // (2 * BLOCK)))) for c in range(len(top))}
-    return materialize(dealt(reps, top, radius, blocks).groupBy("unit").applyInPandas(lambda part: join_unit(part, cosine), "rep long, links long, to long"))
+    blocks = {c: tuple(max(1, -(-n * width // size)) for n, size in zip(sizes.get(c, (0, 0)), (BLOCK, 2 * BLOCK), strict=True)) for c in range(len(top))}
+    return dealt(reps, top, radius, blocks).groupBy("unit").applyInPandas(lambda part: join_unit(part, cosine), FOUND)
+
+
+def joined_short(reps: DataFrame, widths: DataFrame, cosine: float) -> DataFrame:
+    """rep, links, to: the same of all lengths in ``widths`` (width, count), which have too few vectors for pivots: each length
+    is one cell, dealt into blocks as any other, and all of them are one plan."""
+    rows = reps.withColumn("width", F.size("v")).join(small_side(widths), "width")
+    h, w = (F.greatest(F.lit(1), F.ceil(F.col("count") * F.col("width") / size)).cast("long") for size in (BLOCK, 2 * BLOCK))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(23), "rep"), 1)
+    home = F.transform(F.sequence(F.lit(0).cast("long"), w - 1), lambda j: F.struct((key % h * w + j).alias("unit"), F.lit(0).cast("byte").alias("role")))
+    other = F.transform(F.sequence(F.lit(0).cast("long"), h - 1), lambda j: F.struct((j * w + key % w).alias("unit"), F.lit(1).cast("byte").alias("role")))
+    units = rows.select("width", "rep", "n", "v", F.explode(F.concat(home, other)).alias("u")).select("width", "u.unit", "u.role", "rep", "n", "v")
+    return units.groupBy("width", "unit").applyInPandas(lambda part: join_unit(part, cosine), FOUND)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding; other columns are not read).
 
     Vectors link if their cosine, in double precision, is ``cosine`` or more. Vectors that are null, empty, zero or hold a
-    null or non-finite component link with nothing, nor do vectors of different lengths with each other; each length is
-    joined by itself. Equal vectors are one class that is joined once; repeated ids count as rows. Rows without vec_id are
+    null or non-finite component link with nothing, nor do vectors of different lengths with each other. Lengths of fewer
+    than two cells of vectors are joined together in one plan, the others, of which there are few, one by one. Equal vectors are one class that is joined once; repeated ids count as rows. Rows without vec_id are
     compared too, have a component only through others, and are kept if they have none. An empty table gives no rows.
     """
     reps, members = classes(vectors)
-    found = None
-    for r in reps.groupBy(F.size("v").alias("width")).count().collect():
-        one = joined(reps.where(F.size("v") == r["width"]), r["width"], r["count"], cosine)
-        found = one if found is None else found.union(one)
-    if found is None:
-        return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    widths = materialize(reps.groupBy(F.size("v").alias("width")).count())
+    found = joined_short(reps, widths.where(F.col("count") < 2 * CELL), cosine)
+    for r in widths.where(F.col("count") >= 2 * CELL).collect():  # one row for 2 * CELL vectors at most
+        found = found.union(joined(reps.where(F.size("v") == r["width"]), r["width"], r["count"], cosine))
+    found = materialize(found)
     counts = found.where("to < 0 and links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected(found.where("links = 0").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     of = reps.select("k0", "k1", "rep", "n").join(counts, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -345,9 +345,10 @@ def brute_links(vectors, cosine=0.9):
     return [(i, links[i], find(i), find(i) == i) for i in range(len(vectors))]
 
 
-@pytest.mark.parametrize("cell,block", [(2048, 1 << 20), (20, 64)])
-def test_metric_join(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("cell,pivots,block", [(2048, 512, 1 << 20), (2048, 512, 64), (20, 512, 64), (2, 9, 1 << 20)])
+def test_metric_join(spark, monkeypatch, cell, pivots, block):
     monkeypatch.setattr(metric_join, "CELL", cell)
+    monkeypatch.setattr(metric_join, "PIVOTS", pivots)
     monkeypatch.setattr(metric_join, "BLOCK", block)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 4))
@@ -365,6 +366,22 @@ def test_metric_join_odd(spark):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_metric_join_lengths(spark, monkeypatch):
+    """Many lengths, some with pivots; multiples of one vector, all of them pivots, lie in cells of one place."""
+    monkeypatch.setattr(metric_join, "CELL", 8)
+    rng = np.random.default_rng(3)
+    vectors = [rng.random(1 + i % 40).tolist() for i in range(200)] + [[1.0 * k, 2.0 * k, 0.5 * k] for k in range(1, 60)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in metric_join.near_vectors(df).collect())
+    assert got == brute_links(vectors)
+
+
+def test_pivot_count():
+    """A pivot for each cell up to PIVOTS, then as the square root, within PIVOT_BYTES."""
+    assert [metric_join.pivot_count(n, 64) for n in (0, 2047, 4096, 51_282, 1 << 20, 1 << 24, 1 << 30, 1 << 40)] == [1, 1, 2, 25, 512, 2048, 16_384, 32_768]
+    assert metric_join.pivot_count(1 << 30, 4096) == 512 and metric_join.pivot_count(10, 1 << 30) == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
