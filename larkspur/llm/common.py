@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import tempfile
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Bytes of values a side may have at most, by its own count, before it is joined by a shuffle instead of a broadcast.
 BROADCAST_BYTES = 8_000_000
+#: Rows of one key that one task may get of a join by ``join_hot``.
+HOT_ROWS = 100_000
 
 
 def ship(name: str) -> None:
@@ -66,6 +69,32 @@ def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if byte_count(df) <= most else df
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether ``df``, which should be materialized, is small enough for a broadcast."""
+    return byte_count(df) <= BROADCAST_BYTES
+
+
+def join_hot(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined (inner or left) with ``side``, which has one row for each key. A key of more than HOT_ROWS ``rows`` is
+    dealt over several tasks by a hash of the row, its one row of ``side`` being repeated; in a left join rows without a key
+    are spread likewise.
+
+    ``counts`` says in ``n`` how many of ``rows`` have a key, or more; without it a column ``n`` of ``side`` does, which is not
+    returned. It should be materialized, as the hot keys, at most one for HOT_ROWS rows, are looked up first.
+    """
+    if counts is None:
+        counts, side = side.select(*on, "n"), side.drop("n")
+    if how == "inner" and (counts.agg(F.max("n")).first()[0] or 0) <= HOT_ROWS:
+        return rows.join(side, on, how)
+    one = F.lit(1).cast("long")
+    hot = small_side(materialize(counts.where(F.col("n") > HOT_ROWS).select(*on, F.ceil(F.col("n") / HOT_ROWS).cast("long").alias("__parts"))))
+    lacking = reduce(Column.__or__, [F.col(k).isNull() for k in on])
+    salts = F.when(lacking, F.lit(1024).cast("long")).otherwise(F.coalesce("__parts", one))
+    dealt = rows.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), salts)).drop("__parts")
+    sides = side.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(one - 1, F.coalesce("__parts", one) - 1))).drop("__parts")
+    return dealt.join(sides, [*on, "__salt"], how).drop("__salt")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

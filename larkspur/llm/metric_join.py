@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialize, ship, small_side, table
+from larkspur.llm.common import fits, join_hot, materialize, ship, small_side, table
 from larkspur.llm.components import connected
 
 ship(__name__)
@@ -217,8 +217,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = found.where("to < 0 and links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected(found.where("links = 0").select(F.col("rep").alias("a"), F.col("to").alias("b")))
     of = reps.select("k0", "k1", "rep", "n").join(counts, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    of = materialize(of.select("k0", "k1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    out = members.join(small_side(of), ["k0", "k1"], "left")
+    of = materialize(of.select("k0", "k1", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    out = members.join(F.broadcast(of.drop("n")), ["k0", "k1"], "left") if fits(of) else join_hot(members, of, ["k0", "k1"], "left")
     component = F.coalesce(F.when(F.col("component_id") < (1 << 62), F.col("component_id")), F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 

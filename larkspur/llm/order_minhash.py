@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fresh, materialize, row_id, ship, small_side, table, with_columns_of
+from larkspur.llm.common import fits, fresh, join_hot, materialize, row_id, ship, small_side, table, with_columns_of
 from larkspur.llm.components import connected
 
 ship(__name__)
@@ -310,14 +310,15 @@ def verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of groups: ``rows`` has group, node, size, side and component. Groups are dealt over units of about UNIT_WORDS."""
     rows = materialize(rows)
     units = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / UNIT_WORDS))
-    rows = rows.drop("size").join(texts, "node").withColumn("unit", F.pmod(F.xxhash64("group"), F.lit(units)))
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    rows = join_hot(rows.drop("size"), texts, ["node"], counts=counts).withColumn("unit", F.pmod(F.xxhash64("group"), F.lit(units)))
     return materialize(rows.groupBy("unit").applyInPandas(unit_links, "a long, b long"))
 
 
 def led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among ``pairs`` (lead, node, lead_size, size, lead_component, component); a leader's members are dealt over several groups."""
-    many = pairs.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / GROUP_WORDS)).cast("int").alias("parts"))
-    dealt = pairs.join(many, "lead").withColumn("group", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    many = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("size") / GROUP_WORDS)).cast("int").alias("parts"))
+    dealt = join_hot(pairs, materialize(many), ["lead"]).withColumn("group", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))))
     sides = [F.struct(F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.lit(0).alias("side"), F.col("lead_component").alias("component")), F.struct("node", "size", F.lit(2).alias("side"), "component")]
     rows = dealt.select("group", F.explode(F.array(*sides)).alias("x")).select("group", "x.*")
     return verified(rows.groupBy("group", "node", "side").agg(F.first("size").alias("size"), F.min("component").alias("component")), texts)
@@ -333,15 +334,16 @@ def divided(entries: DataFrame, groups: DataFrame) -> DataFrame:
     rows = entries.select("bucket", "node", "size").join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
     of = of.where("lo <> hi").groupBy("x", "y", "n", "words", "lo").agg(F.min("bucket").alias("bucket"))
-    return materialize(rows.join(of.drop("x", "y"), "bucket"))
+    of = materialize(of.drop("x", "y").withColumn("size_of", F.col("n")))
+    return materialize(join_hot(rows, of, ["bucket"]).withColumnRenamed("size_of", "n"))
 
 
-def with_leads(rows: DataFrame, leads: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs for ``led``: each of ``rows`` (bucket, node, size, component) with its bucket's lead in ``leads``, if they are of
-    different components and of lengths that can be linked."""
-    named = leads.join(nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")), "lead")
-    named = named.join(small_side(groups.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))), "lead", "left").withColumn("lead_component", F.coalesce("lead_component", "lead"))
-    pairs = rows.join(named, "bucket").where((F.col("component") != F.col("lead_component")) & near_in_length(F.col("size"), F.col("lead_size")))
+def with_leads(rows: DataFrame, seed: int) -> DataFrame:
+    """Pairs for ``led``: each of ``rows`` (bucket, n, node, size, component) with a lead of its bucket, drawn by ``seed``, if they
+    are of different components and of lengths that can be linked."""
+    leads = rows.groupBy("bucket").agg(F.first("n").alias("n"), F.min_by(F.struct("node", "size", "component"), F.xxhash64(F.lit(seed), "node")).alias("x"))
+    leads = materialize(leads.select("bucket", "n", "x.*").toDF("bucket", "n", "lead", "lead_size", "lead_component"))
+    pairs = join_hot(rows.select("bucket", "node", "size", "component"), leads, ["bucket"]).where((F.col("component") != F.col("lead_component")) & near_in_length(F.col("size"), F.col("lead_size")))
     return materialize(pairs.groupBy("lead", "node").agg(*[F.first(c).alias(c) for c in ("lead_size", "size", "lead_component", "component")]))
 
 
@@ -361,25 +363,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket's first component against blocks of those in it and against each other.
     """
     rows = materialize(sketched(docs))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
-    nodes = materialize(nodes.select("node", "first", "size", "sketch"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("node", "first", "n", "size", "sketch"))
     entries = nodes.select(F.explode("sketch").alias("bucket"), "node", "size")
-    shared = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"))
-    entries = materialize(entries.join(shared, "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1")
+    shared = materialize(shared.select("bucket", "n", "lead", (F.col("n") == 2).alias("pair")))
+    entries = materialize(join_hot(entries, shared, ["bucket"]))
     needed = materialize(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("first.*"))
     texts = materialize(word_hashes(docs, needed))
 
-    star = entries.groupBy("node", "size").agg(F.min("lead").alias("lead")).where("node <> lead").join(nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size")), "lead")
-    star = star.where(near_in_length(F.col("size"), F.col("lead_size"))).withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node"))
+    star = entries.groupBy("node", "size").agg(F.min("lead").alias("x")).select("node", "size", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size"))
+    star = star.where("node <> lead").where(near_in_length(F.col("size"), F.col("lead_size"))).withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node"))
     links = led(materialize(star), texts)
     groups = materialize(connected(links))
     # Texts that can be linked lie in the same class of lengths or in neighbouring ones.
     length = F.floor(F.log("size") / -math.log(SIMILARITY - 1e-6)).cast("int")
-    left = entries.where("n > 2").select("bucket", "node", "size", F.explode(F.array(length, length + 1)).alias("length")).select(F.xxhash64("bucket", "length").alias("bucket"), "node", "size")
-    left = divided(left.union(entries.where("n = 2").select("bucket", "node", "size")), groups)
+    left = entries.where("not pair").select("bucket", "node", "size", F.explode(F.array(length, length + 1)).alias("length")).select(F.xxhash64("bucket", "length").alias("bucket"), "node", "size")
+    left = divided(left.union(entries.where("pair").select("bucket", "node", "size")), groups)
     for k in range(1, ROUNDS):
-        leads = left.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(k), "node")).alias("lead"))
-        links = materialize(links.union(led(with_leads(left, leads, nodes, groups), texts)))
+        links = materialize(links.union(led(with_leads(left, k), texts)))
         groups = materialize(connected(links))
         left = divided(left, groups)
 
@@ -393,8 +395,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stray = F.col("component") != F.col("lo")
     many = left.where(F.col("n") > BUCKET)
     outside = [F.sum(F.when(stray, x).otherwise(0)) for x in (F.lit(1), F.col("size"))]
-    blocks = many.groupBy("bucket").agg(F.ceil(F.greatest(outside[0] / BLOCK, outside[1] / GROUP_WORDS)).cast("int").alias("is"), F.ceil(F.greatest((F.max("n") - outside[0]) / BLOCK, (F.max("words") - outside[1]) / GROUP_WORDS)).cast("int").alias("js"))
-    many = materialize(many.select("bucket", "node", "size", "component", stray.alias("stray")).join(blocks, "bucket"))
+    blocks = many.groupBy("bucket").agg(F.max("n").alias("n"), F.ceil(F.greatest(outside[0] / BLOCK, outside[1] / GROUP_WORDS)).cast("int").alias("is"), F.ceil(F.greatest((F.max("n") - outside[0]) / BLOCK, (F.max("words") - outside[1]) / GROUP_WORDS)).cast("int").alias("js"))
+    many = many.select("bucket", "node", "size", "component", stray.alias("stray"))
+    many = materialize(join_hot(many, materialize(blocks), ["bucket"]))
     own = lambda of: F.pmod(F.xxhash64(F.lit(2), "node"), F.col(of))
     inside = many.where("not stray").select("bucket", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), own("js").alias("j"), "node", "size", F.lit(2).alias("side"), "component")
     out = many.where("stray").withColumn("own", own("is")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("js") + F.col("is") - 1))).withColumn("other", F.col("to") - F.col("js"))
@@ -404,10 +407,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most = verified(units, texts)
 
     groups = materialize(connected(links.union(more).union(most)))
-    named = nodes.select("node", "first").join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("class"))
-    named = materialize(named.join(least, "component").select("node", "class.*").toDF("node", "class_id", "class_text"))
-    out = rows.select("doc_id", "rid", "h", "node").join(small_side(named), "node", "left")
+    named = nodes.select("node", "first", F.col("n").alias("rows")).join(small_side(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = materialize(named.groupBy("component").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n")))
+    named = materialize(join_hot(named, least, ["component"]).select("node", "rows", "class.*").toDF("node", "n", "class_id", "class_text"))
+    out = rows.select("doc_id", "rid", "h", "node")
+    out = out.join(F.broadcast(named.drop("n")), "node", "left") if fits(named) else join_hot(out, named, ["node"], "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "rid")).withColumn("class_text", F.coalesce("class_text", "h"))
     return out.select("doc_id", "rid", "h", "class_id", "class_text", ((F.col("rid") == F.col("class_id")) & (F.col("h") == F.col("class_text"))).alias("kept"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur import llm
-from larkspur.llm import byte_bpe, components, kneser_ney, language_id, line_dedup, metric_join, mixing, order_minhash, quality_rules, secret_scan, sharding
+from larkspur.llm import byte_bpe, common, components, kneser_ney, language_id, line_dedup, metric_join, mixing, order_minhash, quality_rules, secret_scan, sharding
 from larkspur.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h1 long, pos int, node long, block long, copy int, rid string, kept string"
@@ -366,6 +366,44 @@ def test_metric_join_odd(spark):
     assert metric_join.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_hot(spark, monkeypatch, how):
+    """Hot and null keys are dealt over tasks; the rows are those of a plain join."""
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    rows = spark.range(5000).select(F.when(F.col("id") % 4 > 0, F.when(F.col("id") % 4 > 1, 7).otherwise(F.col("id") % 50)).alias("k"), "id")
+    side = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("k <> 5")
+    got = common.join_hot(rows, common.materialize(side), ["k"], how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(side.drop("n"), "k", how).collect()))
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    again = common.join_hot(rows, side.drop("n"), ["k"], how, common.materialize(counts))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        even = common.join_hot(rows, common.materialize(side), ["k"], how).hint("merge")
+        sizes = [n for n in even.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 0.75 * sum(sizes)
+
+
+def test_hot_groups(spark, monkeypatch):
+    """With every key beyond a few rows hot and no broadcast, near vectors, near texts and components are the same."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    edges = [(0, i) for i in range(1, 40)] + [(50 + i, 51 + i) for i in range(9)] + [(60, i) for i in range(61, 80)]
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), **dict.fromkeys(range(50, 60), 50), **dict.fromkeys(range(60, 80), 60)}
+    vectors = [[1.0, 0.01 * (i % 3)] for i in range(30)] + [[0.0, 1.0]] * 9 + [None] * 9 + [[-1.0, 0.3]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in metric_join.near_vectors(df).collect()) == brute_links(vectors)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(40)] + [" ".join(reversed(words))] * 12 + [None] * 5 + ["lone text of its own"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), **dict.fromkeys(range(40, 52), 40), **{i: i for i in range(52, 58)}}
+
+
 def test_metric_join_lengths(spark, monkeypatch):
     """Many lengths, some with pivots; multiples of one vector, all of them pivots, lie in cells of one place."""
     monkeypatch.setattr(metric_join, "CELL", 8)
