@@ -341,8 +341,8 @@ def divided(entries: DataFrame, groups: DataFrame) -> DataFrame:
 def with_leads(rows: DataFrame, seed: int) -> DataFrame:
     """Pairs for ``led``: each of ``rows`` (bucket, n, node, size, component) with a lead of its bucket, drawn by ``seed``, if they
     are of different components and of lengths that can be linked."""
-    leads = rows.groupBy("bucket").agg(F.first("n").alias("n"), F.min_by(F.struct("node", "size", "component"), F.xxhash64(F.lit(seed), "node")).alias("x"))
-    leads = materialize(leads.select("bucket", "n", "x.*").toDF("bucket", "n", "lead", "lead_size", "lead_component"))
+    least = [F.min_by(c, F.xxhash64(F.lit(seed), "node")).alias(f"lead{of}") for c, of in (("node", ""), ("size", "_size"), ("component", "_component"))]
+    leads = materialize(rows.groupBy("bucket").agg(F.max("n").alias("n"), *least))
     pairs = join_hot(rows.select("bucket", "node", "size", "component"), leads, ["bucket"]).where((F.col("component") != F.col("lead_component")) & near_in_length(F.col("size"), F.col("lead_size")))
     return materialize(pairs.groupBy("lead", "node").agg(*[F.first(c).alias(c) for c in ("lead_size", "size", "lead_component", "component")]))
 
@@ -366,13 +366,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "h")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
     nodes = materialize(nodes.select("node", "first", "n", "size", "sketch"))
     entries = nodes.select(F.explode("sketch").alias("bucket"), "node", "size")
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1")
-    shared = materialize(shared.select("bucket", "n", "lead", (F.col("n") == 2).alias("pair")))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size")).where("n > 1")
+    shared = materialize(shared.select("bucket", "n", "lead", "lead_size", (F.col("n") == 2).alias("pair")))
     entries = materialize(join_hot(entries, shared, ["bucket"]))
     needed = materialize(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("first.*"))
     texts = materialize(word_hashes(docs, needed))
 
-    star = entries.groupBy("node", "size").agg(F.min("lead").alias("x")).select("node", "size", F.col("x.node").alias("lead"), F.col("x.size").alias("lead_size"))
+    star = entries.groupBy("node", "size").agg(F.min("lead").alias("lead"), F.min_by("lead_size", "lead").alias("lead_size"))
     star = star.where("node <> lead").where(near_in_length(F.col("size"), F.col("lead_size"))).withColumn("lead_component", F.col("lead")).withColumn("component", F.col("node"))
     links = led(materialize(star), texts)
     groups = materialize(connected(links))
