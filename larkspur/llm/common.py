@@ -42,9 +42,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it cuts the lineage and survives lost executors."""
+    """A reliable checkpoint: it cuts the lineage and survives lost executors.
+
+    Spark hands the estimated size on to a checkpoint, and that of a join is the product of its sides': over the rounds of a
+    loop its digits double with each join, until the number alone fills the driver. So the estimate is dropped here.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark, jdf = df.sparkSession, df.checkpoint()._jdf
+    jvm, plan = spark._jvm, jdf.queryExecution().logical()
+    none = getattr(getattr(jvm.scala, "None$"), "MODULE$")
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), jdf.sparkSession(), none, jvm.scala.Some(plan.constraints())
+    )
+    return type(df)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(jdf.sparkSession(), plan), spark)
 
 
 def byte_count(df: DataFrame) -> int:

@@ -420,6 +420,22 @@ def test_pivot_count():
     assert metric_join.pivot_count(1 << 30, 4096) == 512 and metric_join.pivot_count(10, 1 << 30) == 1
 
 
+def test_size_estimates_stay_bounded(spark, monkeypatch):
+    """With hot keys each round of the components joins several times; the planner's estimate, a product of sizes, must not grow with the rounds."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    seen = []
+
+    def kept(df):
+        seen.append(common.materialize(df))
+        return seen[-1]
+
+    monkeypatch.setattr(components, "materialize", kept)
+    path = components.connected(spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert [r["component"] for r in path.select("component").distinct().collect()] == [0] and len(seen) > 6
+    bits = [x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for x in seen]
+    assert max(bits) < 100, bits
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
